@@ -88,7 +88,7 @@ _RULE = "struct<name:string,verdict:string,regex:string,length:int>"
 
 def _best(candidates: Column) -> Column:
     """Of the candidates that fit _place, the one that decides, or null."""
-    fits = F.filter(candidates, lambda r: F.expr("_place").rlike(r["regex"]))
+    fits = F.filter(candidates, lambda r: F.rlike(F.col("_place"), r["regex"]))
     ranked = F.array_sort(F.transform(fits, lambda r: F.struct((-r["length"]).alias("o"), r["name"].alias("name"), r["verdict"].alias("verdict"), r["length"].alias("length"))))
     return F.get(ranked, F.lit(0))
 
