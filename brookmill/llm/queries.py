@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, toxicity, urls
+from . import decontamination, langid, pieces, simhash, toxicity, urls
 from .common import fold, table
 
 
@@ -32,11 +33,23 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs, path), path)
+    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), lossless.alias("lossless"), "ids")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_toxicity, op4_language_id, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op9_simhash, op10_pieces)}
 
 _PLACED = r"""
     SELECT page_id,
