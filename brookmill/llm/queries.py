@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, pieces, simhash, toxicity, urls
-from .common import fold, table
+from . import decontamination, langid, pieces, simhash, tokenfiles, toxicity, urls
+from .common import fold, shared_folder, table
 
 
 #: The rules of the url query, as verdict and rule.
@@ -45,11 +47,17 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), lossless.alias("lossless"), "ids")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read_tokens(spark, path).drop("ids")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op9_simhash, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op8_token_files, op9_simhash, op10_pieces)}
 
 _PLACED = r"""
     SELECT page_id,
