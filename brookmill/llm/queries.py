@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, pieces, simhash, tokenfiles, toxicity, urls
+from . import decontamination, langid, lm, pieces, simhash, tokenfiles, toxicity, urls
 from .common import fold, shared_folder, table
 
 
@@ -47,6 +47,12 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), lossless.alias("lossless"), "ids")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, lm.train(docs, fold("doc_id", 5) != 1))
+    return scored.withColumn("held_out", fold("doc_id", 5) == 1)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -57,7 +63,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op8_token_files, op9_simhash, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op7_language_model, op8_token_files, op9_simhash, op10_pieces)}
 
 _PLACED = r"""
     SELECT page_id,
