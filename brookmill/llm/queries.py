@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, lm, pieces, simhash, tokenfiles, toxicity, urls
+from . import ann, decontamination, langid, lm, pieces, quality, simhash, tokenfiles, toxicity, urls
 from .common import fold, shared_folder, table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 #: The rules of the url query, as verdict and rule.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -47,6 +51,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), lossless.alias("lossless"), "ids")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm.score(docs, lm.train(docs, fold("doc_id", 5) != 1))
@@ -63,7 +74,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op7_language_model, op8_token_files, op9_simhash, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op6_quality, op7_language_model, op8_token_files, op9_simhash, op10_pieces)}
 
 _PLACED = r"""
     SELECT page_id,
