@@ -1,0 +1,3 @@
+from . import registry, reports, rows, state, texts
+
+__all__ = ["registry", "reports", "rows", "state", "texts"]
