@@ -3,8 +3,11 @@
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ColumnOrName = Column | str
+
 
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 LCS / (len a + len b); bit-parallel over the characters of a."""
@@ -21,8 +24,12 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 * 2 * (full ^ v).bit_count() / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
-def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def ratio(a: ColumnOrName, b: ColumnOrName) -> Column:
     """0 to 100; null if either side is."""
-    for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in pairs:
+            yield pd.Series([None if p is None or q is None else indel_ratio(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return of(a, b)

@@ -105,7 +105,7 @@ def has_literal(x: Column, text: str) -> Column:
 
 
 def split_list(x: Column, by: str = "[,;]") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), by), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), by), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def candidate_terms(x: Column, stopwords: tuple[str, ...]) -> Column:

@@ -57,6 +57,7 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()  # a worker serves one task after another
 
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

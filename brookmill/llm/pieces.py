@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 from .common import mix64, slices
 
 DROPOUT, SEED, VARIANTS = 0.1, 42, 16
+#: Bytes of text that a task encodes at once; each takes about 150 times its size in arrays.
+SLICE_BYTES = 1 << 19
 _UNIT = re.compile("[ ]*[^ \n▁]+|[ ]+|\n|▁")
 _NONE = np.iinfo(np.int64).max
 
@@ -171,7 +173,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text, 4 << 20):
+        for piece in slices(batches, text, SLICE_BYTES):
             keys = ["" if k is None else str(k) for k in piece.column(doc_id).to_pylist()]
             flat, bounds = encode_texts(piece.column(text).to_pylist(), keys, path, dropout, seed, variants)
             column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
