@@ -24,6 +24,19 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have yet: the given one, after underscores if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """df as one struct column `row`, so that columns put beside it clash with none of its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared checkpoint folder.
 

@@ -17,7 +17,8 @@ The benchmark is the stated query set: its items go to the workers in blocks of
 
 Nulls and edges: null and empty texts, of documents or items, match nothing; an item shorter
 than the window is one window, and under `least` tokens it is left alone; repeated rows and items
-are each reported; whole texts count, however long. Extra columns pass through `with_leaks`.
+are each reported; whole texts count, however long. Extra columns pass through `with_leaks`, which
+replaces one named leaks, and `drop_leaks`, which changes none.
 """
 
 import re
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, words_of
+from .common import mix64, whole_rows, words_of
 
 WINDOW, LEAST, COVERAGE, BLOCK_TOKENS = 8, 4, 0.5, 1_000_000
 SLICE_CHARS = 4 << 20
@@ -244,4 +245,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without those that leak an item."""
-    return with_leaks(docs, items, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    return with_leaks(whole_rows(docs), items, **options | {"text": f"row.{options.get('text', 'text')}"}).where(F.size("leaks") == 0).select("row.*")

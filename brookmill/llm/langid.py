@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import fresh, slices
 
 SIZE = 300
 #: Characters that are turned into n-grams at once; longer texts are taken in pieces.
@@ -146,5 +146,6 @@ def identify(docs: DataFrame, model: pd.DataFrame, size: int = SIZE, text: str =
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_found", nearest(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    at = fresh("found", docs)
+    found = docs.withColumn(at, nearest(F.col(text)))
+    return found.withColumns({"lang_pred": F.col(f"{at}.lang_pred"), "score": F.col(f"{at}.score")}).drop(at)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest
-from .common import mix64, saved
+from .common import mix64, saved, whole_rows
 from .components import components
 
 MAX_SHARD = 20_000
@@ -155,9 +155,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     Equal texts always meet. A repeated row (same id and text) is kept once. A null doc_id sorts
     after all others, and a null text counts as empty.
     """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_digest", F.sha2(text, 256)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_digest"))
-    prints = saved(with_fingerprint(keyed.select("doc_id", "_digest", "text"), propose_words, bits).select("doc_id", "_digest", "fingerprint"))
+    text = F.coalesce("row.text", F.lit(""))
+    keyed = whole_rows(docs).withColumn("_digest", F.sha2(text, 256)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "_digest"))
+    prints = saved(with_fingerprint(keyed.select("row.doc_id", "_digest", "row.text"), propose_words, bits).select("doc_id", "_digest", "fingerprint"))
     texts = prints.groupBy("_digest").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("lowest"))
     distinct = saved(texts.groupBy("fingerprint").agg(F.min("_digest").alias("digest")))
 
@@ -186,4 +186,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     named = texts.join(group, texts._digest == group.node, "left").select("_digest", "lowest", F.coalesce("component", "_digest").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("lowest").isNull().alias("no_id"), "lowest", "_digest")).alias("first"))
     kept = first.select(F.concat_ws(":", F.coalesce(F.col("first.lowest").cast("string"), F.lit("")), "first._digest").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")

@@ -25,7 +25,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_rows
+
 INLINE_RULES, SALTS = 5_000, 16
+OUTPUTS = ("host", "path", "rule", "verdict")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,7 +98,8 @@ def _best(candidates: Column) -> Column:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", inline_rules: int = INLINE_RULES) -> DataFrame:
     """pages with host, path, rule (the prefix rule that decides, else null) and verdict."""
-    placed = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    place = F.col(f"row.{url}")
+    placed = whole_rows(pages).withColumn("host", host_of(place)).withColumn("path", path_of(place))
     placed = placed.withColumn("_place", F.concat("host", "path")).withColumn("_tokens", _tokens(F.col("_place")))
     filed = _filed(placed, rules)
     entry = lambda r: {"name": r.name, "verdict": r.verdict, "regex": r.regex, "length": r.length}
@@ -121,4 +125,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", inline_rul
         judged = judged.withColumn("_best", F.least("_by_token", "_by_rule")).drop("_by_token", "_by_rule")
     by_prefix = F.col("_best.length") > 0
     judged = judged.withColumn("rule", F.when(by_prefix, F.col("_best.name"))).withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit("allow")))
-    return judged.drop("_place", "_tokens", "_best")
+    given = [F.col(f"row.`{c}`") for c in pages.columns if c.lower() not in OUTPUTS]
+    return judged.select(*given, *OUTPUTS)
