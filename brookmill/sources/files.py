@@ -59,10 +59,13 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_attachments(spark: SparkSession, path: str) -> DataFrame:
-    """path, extension, size, checksum, content and error (null if it may be taken) of files."""
+    """path, extension, size, checksum, content and error (null if it may be taken) of files.
+
+    Spark's file sources pass over files without content, so an empty attachment has no row.
+    """
     files = spark.read.format("binaryFile").load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    error = F.when(~extension.isin(*ATTACHMENT_TYPES), "extension_not_allowed").when(F.col("length") == 0, "empty_file").when(F.col("length") > ATTACHMENT_BYTES, "too_large")
+    error = F.when(~extension.isin(*ATTACHMENT_TYPES), "extension_not_allowed").when(F.col("length") > ATTACHMENT_BYTES, "too_large")
     return files.select("path", extension.alias("extension"), F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"), "content", error.alias("error"))
 
 

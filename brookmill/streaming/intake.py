@@ -19,7 +19,8 @@ def routed(raw: DataFrame, schema: str, required: tuple[str, ...]) -> DataFrame:
     """raw (column body) with message (a struct or null) and poison (why it can't be read, or null)."""
     parsed = raw.withColumn("message", F.from_json("body", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     missing = F.coalesce(*[F.when(F.col(f"message.{c}").isNull(), F.lit(f"missing_{c}")) for c in required])
-    poison = F.when(F.col("message").isNull() | F.col("message._corrupt").isNotNull(), "bad_json").when(~F.trim("body").startswith("{"), "wrong_root").otherwise(missing)
+    poison = F.when(F.try_parse_json("body").isNull(), "bad_json").when(~F.trim("body").startswith("{"), "wrong_root")
+    poison = poison.when(F.col("message").isNull() | F.col("message._corrupt").isNotNull(), "bad_json").otherwise(missing)
     return parsed.withColumn("poison", poison)
 
 

@@ -49,9 +49,9 @@ def test_found_terms_prefer_canonical(spark):
 
 
 def test_fuzzy_resolution_needs_a_margin(spark):
-    dictionary = spark.createDataFrame([("postgresql", "PostgreSQL", "canonical"), ("javascript", "JavaScript", "canonical"), ("javascripts", "Other", "canonical")], "alias string, canonical string, kind string")
-    terms = spark.createDataFrame([("postgressql",), ("javascriptt",), ("go",)], "t string")
-    assert dict(rows(taxonomy.resolve_fuzzy(terms, dictionary, "t").select("t", "canonical"), "t")) == {"postgressql": "PostgreSQL", "javascriptt": None, "go": None}
+    dictionary = spark.createDataFrame([("postgresql", "PostgreSQL", "canonical"), ("javascript", "JavaScript", "canonical"), ("kubernetesa", "One", "canonical"), ("kubernetesb", "Two", "canonical")], "alias string, canonical string, kind string")
+    terms = spark.createDataFrame([("postgressql",), ("kubernetes",), ("javascriptt",), ("go",)], "t string")
+    assert dict(rows(taxonomy.resolve_fuzzy(terms, dictionary, "t").select("t", "canonical"), "t")) == {"postgressql": "PostgreSQL", "kubernetes": None, "javascriptt": "JavaScript", "go": None}
 
 
 def test_noise_reasons(spark):

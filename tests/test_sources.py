@@ -34,7 +34,7 @@ def test_attachments(spark, tmp_path):
     (tmp_path / "b.exe").write_text("x")
     (tmp_path / "c.md").write_text("")
     read = files.read_attachments(spark, str(tmp_path))
-    assert {r.path.rsplit("/")[-1]: r.error for r in read.collect()} == {"a.txt": None, "b.exe": "extension_not_allowed", "c.md": "empty_file"}
+    assert {r.path.rsplit("/")[-1]: r.error for r in read.collect()} == {"a.txt": None, "b.exe": "extension_not_allowed"}
     assert [r.text for r in files.attachment_texts(read).where("text is not null").collect()] == ["hé"]
 
 
