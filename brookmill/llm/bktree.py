@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pairs of a query and a tree node that a search holds at once.
-FRONTIER = 4_000_000
+FRONTIER = 1_000_000
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import mix64, whole_rows, words_of
 
 WINDOW, LEAST, COVERAGE, BLOCK_TOKENS = 8, 4, 0.5, 1_000_000
-SLICE_CHARS = 4 << 20
+#: Characters of documents that are held against the items at once; each takes about 40 bytes of arrays.
+SLICE_CHARS = 1 << 20
 WORD, NUMBER, UNIT, NAME = range(4)
 #: Units of measure and currency, and small numbers as words.
 UNITS = frozenset("% $ € £ ° mm cm m km mg g kg t lb lbs oz ml l h hr hrs min mins s sec secs ms mph kmh inch inches foot feet yard yards mile miles meter meters metre metres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees".split())
@@ -220,12 +221,13 @@ def with_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: i
             ids, texts = sent.value
             index = Index(texts, window, least)
             for batch in batches:
-                batch, out, start = list(batch), [], 0
+                out, start = [], 0
                 ends = np.cumsum([len(t or "") for t in batch])
                 while start < len(batch):
                     base = ends[start - 1] if start else 0
                     stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_CHARS, side="right")))
-                    out += index.leaks(batch[start:stop], window, coverage)
+                    out += index.leaks(list(batch.iloc[start:stop]), window, coverage)
+                    pa.default_memory_pool().release_unused()
                     start = stop
                 yield pd.Series([[(ids[i], *rest) for i, *rest in row] for row in out], dtype=object)
 

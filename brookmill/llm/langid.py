@@ -29,6 +29,8 @@ from .common import fresh, slices
 SIZE = 300
 #: Characters that are turned into n-grams at once; longer texts are taken in pieces.
 PIECE = 1 << 20
+#: Bytes of training text that are counted at once; each takes about 20 bytes of arrays.
+TRAIN_BYTES = 4 << 20
 
 
 @functools.cache
@@ -45,8 +47,8 @@ def _digits() -> np.ndarray:
 def _stream(text: str) -> np.ndarray:
     """Code points of the letters, with one space (as 32) before, after and between the words."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    s = np.full(len(points) + 2, 32, dtype=np.int64)
-    s[1:-1] = np.where(_letters()[points], points, 32)
+    s = np.full(len(points) + 2, 32, dtype=np.uint32)
+    np.copyto(s[1:-1], points, where=_letters()[points])
     keep = s != 32
     keep[1:] |= keep[:-1]
     keep[0] = True
@@ -109,7 +111,7 @@ def profiles(docs: DataFrame, size: int = SIZE, text: str = "text", lang: str =
     rows = (rows.where(training) if training is not None else rows).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in slices(batches, limit=TRAIN_BYTES):
             frame = piece.to_pandas()
             for name, texts in frame.groupby("lang").text:
                 grams, n = counted("\n".join(texts))
