@@ -167,17 +167,24 @@ def encode_texts(texts: list[str | None], keys: list[str], path: str, dropout: f
     return flat.astype(np.int32), np.append(0, ends)[np.append(0, np.cumsum(counts))]
 
 
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with ids, an array of int; path: the SentencePiece BPE model, at the same place on every machine."""
-    docs = docs.drop("ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, text: str = "text", doc_id: str = "doc_id", verify: bool = False) -> DataFrame:
+    """docs with ids, an array of int; path: the SentencePiece BPE model, at the same place on every machine.
+
+    With verify also lossless: whether the ids, decoded again, give exactly the text.
+    """
+    docs = docs.drop("ids", *["lossless"] * verify)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("lossless", T.BooleanType())] * verify])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, text, SLICE_BYTES):
             keys = ["" if k is None else str(k) for k in piece.column(doc_id).to_pylist()]
             flat, bounds = encode_texts(piece.column(text).to_pylist(), keys, path, dropout, seed, variants)
             column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*piece.columns, column], [*piece.schema.names, "ids"])
+            made = [column]
+            if verify:
+                spelled = vocabulary(path).spelled
+                made.append(pa.array([decode_ids(flat[a:b], spelled) == (t.as_py() or "") for t, a, b in zip(piece.column(text), bounds[:-1], bounds[1:])], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*piece.columns, *made], schema.names)
 
     return docs.mapInArrow(run, schema)
 

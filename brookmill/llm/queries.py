@@ -46,9 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs, path), path)
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), lossless.alias("lossless"), "ids")
+    return pieces.encode(docs, path, verify=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "lossless", "ids")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Co
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["at", "doc_id"])
-        weights, bias = ftrl([np.unique(hashed(t, bits)) for t in group.text], group.y.to_numpy(dtype=float), bits)
+        weights, bias = ftrl([np.unique(hashed(t, bits)).astype(np.int32) for t in group.text], group.y.to_numpy(dtype=float), bits)
         at = np.flatnonzero(weights)
         return pd.DataFrame({"feature": np.append(at, -1), "weight": np.append(weights[at], bias)})
 

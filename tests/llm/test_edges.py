@@ -263,6 +263,8 @@ def test_piece_edges(wide, none):
     assert got.where("decoded = coalesce(text, '')").count() == len(ROWS)
     assert got.where("doc_id = 4").select("ids").distinct().count() == 1
     assert pieces.encode(none, PIECES).count() == 0
+    checked = pieces.encode(wide.withColumn("lossless", F.lit("own")), PIECES, verify=True)
+    assert checked.count() == len(ROWS) and checked.where("lossless").count() == len(ROWS)
 
 
 @pytest.mark.parametrize("text", ["Hello  world", " a", "a ", "▁ x▁y", "línea\n\nnew\ttab", "😀 ünï 漢字 \u200b", "12345 +-*/", "\n", " "])
