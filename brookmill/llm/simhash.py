@@ -64,10 +64,12 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> str:
     return out
 
 
-def with_fingerprint(docs: DataFrame, words: int, bits: int, text: str = "text") -> DataFrame:
+def with_fingerprint(docs: DataFrame, words: int, bits: int, text: str = "text", once: bool = False) -> DataFrame:
+    """docs with fingerprint: of all shingles, or with `once` of the distinct ones."""
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(shingles(t, words), bits) for t in texts], dtype=object)
+        made = (shingles(t, words) for t in texts)
+        return pd.Series([fingerprint(np.unique(h) if once else h, bits) for h in made], dtype=object)
 
     return docs.withColumn("fingerprint", of(F.col(text)))
 
@@ -157,7 +159,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     """
     text = F.coalesce("row.text", F.lit(""))
     keyed = whole_rows(docs).withColumn("_digest", F.sha2(text, 256)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "_digest"))
-    prints = saved(with_fingerprint(keyed.select("row.doc_id", "_digest", "row.text"), propose_words, bits).select("doc_id", "_digest", "fingerprint"))
+    prints = saved(with_fingerprint(keyed.select("row.doc_id", "_digest", "row.text"), propose_words, bits, once=True).select("doc_id", "_digest", "fingerprint"))
     texts = prints.groupBy("_digest").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("lowest"))
     distinct = saved(texts.groupBy("fingerprint").agg(F.min("_digest").alias("digest")))
 

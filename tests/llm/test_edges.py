@@ -257,6 +257,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def kept_of(spark, texts: list, **options) -> set:
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.drop_near_duplicates(df, **options).collect()}
+
+
+def wanted_of(texts: list) -> set:
+    sets = {i: brute.shingles(t) for i, t in enumerate(texts)}
+    return set(brute.groups(list(sets), lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8).values())
+
+
+def words_at_random(random, n: int) -> list[str]:
+    return [f"w{int(i)}" for i in random.integers(0, 10**6, n)]
+
+
+def test_near_duplicates_with_a_much_repeated_line(spark):
+    random, texts, far = np.random.default_rng(21), [], 0
+    for repeats in (10, 20, 40):
+        own, line = words_at_random(random, 400), words_at_random(random, 10)
+        texts += [" ".join(own[:200] + line + own[200:]), " ".join(own[:200] + line * repeats + own[200:])]
+        a, b = (int(simhash.fingerprint(np.unique(simhash.shingles(t, 2)), 256), 16) for t in texts[-2:])
+        far = max(far, (a ^ b).bit_count())
+    assert far <= 52  # SimHash proposes them itself
+    assert kept_of(spark, texts) == wanted_of(texts) == {0, 2, 4}
+
+
 def test_piece_edges(wide, none):
     got = pieces.decode(pieces.encode(wide, PIECES), PIECES)
     assert got.count() == len(ROWS) and got.where("row = 'own'").count() == len(ROWS)
