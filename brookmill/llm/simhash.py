@@ -35,6 +35,10 @@ from .components import components
 MAX_SHARD = 20_000
 #: Fingerprints of whole shards that a task turns into trees at once.
 PIECE = 200_000
+#: Texts that share a prefix shingle and are paired in one task; rows that a task holds; pairs that it looks at at once.
+MAX_BUCKET, BUCKET_ROWS, PAIRS = 2_000, 100_000, 1_000_000
+#: Shingles' frequencies are counted by so many leading bits of their hashes.
+RANGE_BITS = 18
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -64,12 +68,10 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> str:
     return out
 
 
-def with_fingerprint(docs: DataFrame, words: int, bits: int, text: str = "text", once: bool = False) -> DataFrame:
-    """docs with fingerprint: of all shingles, or with `once` of the distinct ones."""
+def with_fingerprint(docs: DataFrame, words: int, bits: int, text: str = "text") -> DataFrame:
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        made = (shingles(t, words) for t in texts)
-        return pd.Series([fingerprint(np.unique(h) if once else h, bits) for h in made], dtype=object)
+        return pd.Series([fingerprint(shingles(t, words), bits) for t in texts], dtype=object)
 
     return docs.withColumn("fingerprint", of(F.col(text)))
 
@@ -145,22 +147,166 @@ def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 64, radius: int
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, propose_words: int = 2, bits: int = 256, radius: int = 52, max_shard: int = MAX_SHARD) -> DataFrame:
+def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
+    """How often shingles of each hash range occur in an eighth of the rows. It only orders shingles: the results are the same with any other."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << RANGE_BITS, dtype=np.int64)
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                np.add.at(seen, _range_of(np.unique(shingles(t, words))), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)) == 0).select("text").mapInArrow(count, "at long, n long")
+    rows = some.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << RANGE_BITS, dtype=np.int64)
+    out[rows["at"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _range_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+
+
+def prefix(distinct: np.ndarray, frequency: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest distinct shingles, so many that two sets at least `similarity` alike share one of theirs."""
+    if not len(distinct):
+        return np.zeros(1, dtype=np.uint64)
+    order = np.lexsort((distinct, frequency[_range_of(distinct)]))
+    return distinct[order[: len(distinct) - int(np.ceil(similarity * len(distinct) - 1e-9)) + 1]]
+
+
+def _with_signature(docs: DataFrame, words: int, similarity: float, propose_words: int, bits: int, text: str) -> DataFrame:
+    """docs with fingerprint (of the distinct shingles), size (of the set that decides) and prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select("row.doc_id", "row.text"), words))
+
+    @F.pandas_udf("fingerprint string, size int, prefix array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            own = np.unique(shingles(t, words))
+            out.append((fingerprint(np.unique(shingles(t, propose_words)), bits), max(1, len(own)), prefix(own, sent.value, similarity).view(np.int64)))
+        return pd.DataFrame(out, columns=["fingerprint", "size", "prefix"])
+
+    return docs.withColumn("_made", of(F.col(text))).select("*", "_made.*")
+
+
+class _Buckets:
+    """Pairs of texts that share a prefix shingle, are not joined yet and can still be alike enough.
+
+    Rows (sig, comp, id, size, pos, side) come by sig and comp. Where the texts' first common
+    shingle stands at pos, only the shingles from there on can be common. Rows of a bucket of
+    over `limit` go out as they are, to be dealt again.
+    """
+
+    COLUMNS = ["sig", "comp", "id", "size", "pos", "side"]
+    SCHEMA = "large boolean, sig long, comp long, id long, size int, pos int, side int, other long"
+
+    def __init__(self, similarity: float, limit: int | None):
+        self.similarity, self.limit = similarity, limit
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_one = None, None  # open_one: the large bucket whose first rows are out
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in self.COLUMNS]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            if len(held[0]) < BUCKET_ROWS:
+                continue
+            n, last = len(held[0]), int(np.searchsorted(held[0], held[0][-1]))
+            cut = self.limit is not None and n - last > self.limit
+            whole = n if cut else last
+            yield from self._run([x[:whole] for x in held], open_one)
+            if whole:
+                open_one = held[0][-1] if cut else None
+            held = [x[whole:] for x in held]
+        if held is not None and len(held[0]):
+            yield from self._run(held, open_one)
+
+    def _run(self, rows: list[np.ndarray], large) -> Iterator[pa.RecordBatch]:
+        if not len(rows[0]):
+            return
+        sig, comp = rows[0], rows[1]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        sizes = np.diff(np.append(first, len(sig)))
+        if self.limit is not None:
+            wide = np.repeat((sizes > self.limit) | (sig[first] == large if large is not None else np.zeros(len(first), dtype=bool)), sizes)
+            if wide.any():
+                yield self._out(True, [x[wide] for x in rows], None)
+                rows = [x[~wide] for x in rows]
+                sig, comp = rows[0], rows[1]
+                first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=np.int64)
+                sizes = np.diff(np.append(first, len(sig)))
+        if not len(sig):
+            return
+        ends = np.repeat(first + sizes, sizes)
+        starts = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])))
+        own = np.diff(np.append(starts, len(sig)))
+        other = np.repeat(starts + own, own)
+        _, _, id_, size, pos, side = rows
+        many = ends - other
+        cost, start = np.cumsum(many), 0
+        while start < len(sig):
+            stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + PAIRS, side="right")))
+            n = many[start:stop]
+            a = np.repeat(np.arange(start, stop), n)
+            b = np.repeat(other[start:stop] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            x, y = size[a].astype(np.int64), size[b].astype(np.int64)
+            most = 1 + np.minimum(x - pos[a] - 1, y - pos[b] - 1)
+            # side -1: every two rows of the bucket meet
+            keep = (most >= self.similarity / (1 + self.similarity) * (x + y) - 1e-9) & (np.minimum(x, y) >= self.similarity * np.maximum(x, y) - 1e-9) & ((side[a] < 0) | (side[a] != side[b])) & (id_[a] != id_[b])
+            if keep.any():
+                low, high = np.minimum(id_[a[keep]], id_[b[keep]]), np.maximum(id_[a[keep]], id_[b[keep]])
+                pairs = np.unique(np.stack([low, high], axis=1), axis=0)
+                yield self._out(False, [pairs[:, 0] * 0, pairs[:, 0] * 0, pairs[:, 0], pairs[:, 0] * 0, pairs[:, 0] * 0, pairs[:, 0] * 0], pairs[:, 1])
+            start = stop
+
+    def _out(self, large: bool, rows: list[np.ndarray], other) -> pa.RecordBatch:
+        n = len(rows[0])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        values = [pa.array(np.full(n, large)), *[pa.array(r).cast(k) for r, k in zip(rows, kinds)], pa.array(other if other is not None else np.zeros(n, dtype=np.int64))]
+        return pa.RecordBatch.from_arrays(values, ["large", *self.COLUMNS, "other"])
+
+
+def _sharing(rows: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """id, other: every pair of rows (id, comp, size, prefix) of different comp that may be `similarity` alike.
+
+    Buckets of over `limit` texts with several comps are dealt over the cells of a grid, each
+    holding two parts of the bucket, so that every two of its texts still meet.
+    """
+    within = lambda df, most: df.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_Buckets(similarity, most), _Buckets.SCHEMA)
+    one = rows.select("comp", "id", "size", F.posexplode("prefix").alias("pos", "sig")).select("sig", "comp", "id", "size", "pos", F.lit(-1).alias("side"))
+    found = saved(within(one, limit))
+    pairs, large = found.where("not large").select("id", "other"), found.where("large")
+    parts = large.groupBy("sig").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig", "parts")
+    cut = large.join(parts, "sig").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = cut.select("sig", "comp", "id", "size", "pos", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+    # within a cell of two parts only texts of different parts meet; those of one part meet in its own cell
+    side = F.when(F.col("part") == F.col("to"), -1).otherwise(F.col("part")).alias("side")
+    dealt = cells.select(F.xxhash64("sig", F.least("part", "to"), F.greatest("part", "to")).alias("sig"), "comp", "id", "size", "pos", side)
+    return pairs.union(within(dealt, None).select("id", "other")).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, propose_words: int = 2, bits: int = 256, radius: int = 52, max_shard: int = MAX_SHARD, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group of near copies.
 
     Two texts are near copies if the Jaccard similarity of their sets of `words`-word shingles is
-    at least `similarity`; groups follow chains of these. SimHash proposes the pairs: wide
-    fingerprints of short shingles, where an edit touches few shingles, dealt to shards by blocks
-    of 16 bits; within a shard's BK-tree every text meets its nearest and its first earlier
-    neighbour within the radius. Each proposed pair is then held against the texts themselves.
+    at least `similarity`; groups follow chains of these. Each proposed pair is held against the
+    texts themselves. SimHash proposes first, and joins most copies with few pairs: wide
+    fingerprints of the distinct short shingles, where an edit touches few shingles, dealt to
+    shards by blocks of 16 bits; within a shard's BK-tree every text meets its nearest and its
+    first earlier neighbour within the radius. Then a prefix filter proposes all the rest: two
+    texts this similar share one of their rarest shingles, so every two that do, that aren't
+    joined by verified links and whose sizes and places allow it, are held against each other.
+    What SimHash misses therefore costs time and changes no result.
 
     Equal texts always meet. A repeated row (same id and text) is kept once. A null doc_id sorts
     after all others, and a null text counts as empty.
     """
     text = F.coalesce("row.text", F.lit(""))
     keyed = whole_rows(docs).withColumn("_digest", F.sha2(text, 256)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "_digest"))
-    prints = saved(with_fingerprint(keyed.select("row.doc_id", "_digest", "row.text"), propose_words, bits, once=True).select("doc_id", "_digest", "fingerprint"))
-    texts = prints.groupBy("_digest").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("lowest"))
+    made = _with_signature(keyed.select("row", "_digest"), words, similarity, propose_words, bits, "row.text")
+    texts = saved(made.groupBy("_digest").agg(F.first("fingerprint").alias("fingerprint"), F.min("row.doc_id").alias("lowest"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
     distinct = saved(texts.groupBy("fingerprint").agg(F.min("_digest").alias("digest")))
 
     blocks = bits // 16
@@ -179,12 +325,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
-    involved = proposed.select(F.explode(F.array("digest_a", "digest_b")).alias("_digest")).distinct()
-    whole = keyed.select("_digest", text.alias("text")).join(involved, "_digest", "left_semi").groupBy("_digest").agg(F.min("text").alias("text"))
-    pairs = proposed.join(whole.toDF("digest_a", "text_a"), "digest_a").join(whole.toDF("digest_b", "text_b"), "digest_b")
-    links = pairs.where(jaccard("text_a", "text_b") >= similarity).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
-
-    group = components(links)
+    def verified(proposed: DataFrame) -> DataFrame:
+        involved = proposed.select(F.explode(F.array("digest_a", "digest_b")).alias("_digest")).distinct()
+        whole = keyed.select("_digest", text.alias("text")).join(involved, "_digest", "left_semi").groupBy("_digest").agg(F.min("text").alias("text"))
+        pairs = proposed.join(whole.toDF("digest_a", "text_a"), "digest_a").join(whole.toDF("digest_b", "text_b"), "digest_b")
+        return pairs.where(jaccard("text_a", "text_b") >= similarity).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+
+    joined = components(verified(proposed))
+    rows = texts.join(joined, texts._digest == joined.node, "left").select(F.xxhash64("_digest").alias("id"), F.xxhash64(F.coalesce("component", "_digest")).alias("comp"), "size", "prefix")
+    numbers = texts.select(F.xxhash64("_digest").alias("id"), "_digest")
+    apart = _sharing(rows, similarity, max_bucket)
+    apart = apart.join(numbers.toDF("id", "digest_a"), "id").join(numbers.toDF("other", "digest_b"), "other").select("digest_a", "digest_b")
+    links = verified(saved(apart))
+    group = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     named = texts.join(group, texts._digest == group.node, "left").select("_digest", "lowest", F.coalesce("component", "_digest").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("lowest").isNull().alias("no_id"), "lowest", "_digest")).alias("first"))
     kept = first.select(F.concat_ws(":", F.coalesce(F.col("first.lowest").cast("string"), F.lit("")), "first._digest").alias("_key"))

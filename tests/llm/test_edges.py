@@ -282,6 +282,17 @@ def test_near_duplicates_with_a_much_repeated_line(spark):
     assert kept_of(spark, texts) == wanted_of(texts) == {0, 2, 4}
 
 
+def test_near_duplicates_that_fingerprints_miss(spark):
+    random, texts = np.random.default_rng(22), []
+    for k in range(60):
+        own = words_at_random(random, 400)
+        other = (own + words_at_random(random, (96, 80, 60)[k % 3])) if k % 2 else own[:360] + words_at_random(random, 40)
+        texts += [" ".join(own), " ".join(other)]
+    wanted = wanted_of(texts)
+    assert len(wanted) == 60
+    assert kept_of(spark, texts) == kept_of(spark, texts, max_shard=1) == wanted
+
+
 def test_piece_edges(wide, none):
     got = pieces.decode(pieces.encode(wide, PIECES), PIECES)
     assert got.count() == len(ROWS) and got.where("row = 'own'").count() == len(ROWS)
