@@ -293,6 +293,30 @@ def test_near_duplicates_that_fingerprints_miss(spark):
     assert kept_of(spark, texts) == kept_of(spark, texts, max_shard=1) == wanted
 
 
+def test_near_duplicates_within_a_template(spark):
+    random, texts = np.random.default_rng(23), []
+    template = words_at_random(random, 330)
+    for k in range(40):
+        own = words_at_random(random, 70)
+        texts += [" ".join(template + own)] + ([" ".join(template[:300] + words_at_random(random, 20) + template[320:] + own)] if k % 4 == 0 else [])
+    random.shuffle(texts)
+    wanted = wanted_of(texts)
+    assert len(wanted) == 40
+    assert kept_of(spark, texts) == kept_of(spark, texts, max_bucket=3) == wanted
+    # the fingerprints propose nothing of use, and all buckets of over one text are dealt again
+    assert kept_of(spark, texts, radius=0, max_bucket=1) == wanted
+
+
+def test_near_duplicates_of_equal_fingerprint(spark):
+    random, texts = np.random.default_rng(24), []
+    for _ in range(12):  # all nine word pairs of three words
+        own = ["a", "a", "b", "b", "c", "c", "a", "c", "b", "a", *random.choice(["a", "b", "c"], 90)]
+        texts += [" ".join(own), " ".join([*own, "a", "b"])]
+    assert len({simhash.fingerprint(np.unique(simhash.shingles(t, 2)), 256) for t in texts}) == 1
+    wanted = wanted_of(texts)
+    assert len(wanted) == 12 and kept_of(spark, texts) == wanted
+
+
 def test_piece_edges(wide, none):
     got = pieces.decode(pieces.encode(wide, PIECES), PIECES)
     assert got.count() == len(ROWS) and got.where("row = 'own'").count() == len(ROWS)
