@@ -4,7 +4,9 @@ A count c is quantised to the level 1 + floor(log2 c), and a bigram enters the f
 each level up to its own, under a key that holds the level. A look-up probes level after level
 until one is missing; the estimate is the middle of the last level's counts. The filter is
 broadcast: one segment for each bucket of bigrams, about `bits` bits for each entry, so that a
-bigram never seen is found with a probability of about one in 300.
+bigram never seen is found with a probability of about one in 300. Whole segments are put
+together into blocks of `max_filter_bytes` at most, and a scorer holds one block at a time, so that
+every bigram stays in the filter at every size and memory stays bounded.
 
 Witten-Bell smoothing joins the estimate with the exact statistics of single tokens: with c
 occurrences of the context and t distinct followers, P(w|v) = (count(v,w) + t P(w)) / (c + t),
@@ -16,10 +18,7 @@ with their counts, packed, to buckets. Contexts are spread over many buckets, so
 doesn't fill one. The exact statistics reach the texts by a join: texts are dealt to chunks by a
 hash, every chunk asks once for each distinct word it holds, and gets the answers.
 
-Words are known by XXH64 hashes, followers within a context by 32 bits of theirs. The filter has
-a size bound, `max_filter_bytes`; if bigrams seen once would break it, those with the fewest
-occurrences are left to the smoothing, by the smallest least count that fits. All counts cover
-all training texts either way.
+Words are known by XXH64 hashes, followers within a context by 32 bits of theirs.
 
 Nulls and edges: a null or empty text is just its end token; repeated rows count and score each;
 without training texts every token has probability 1 under the base. Whole texts count, however
@@ -34,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, shared_folder, slices, words_of
@@ -122,7 +121,8 @@ def segment(key: np.ndarray, n: np.ndarray, bits: int) -> bytes:
 
 
 class Model(NamedTuple):
-    filter: Filter
+    #: Broadcast filters, each of some of the buckets.
+    filters: list
     #: Table of word (hash), n and followers.
     words: DataFrame
     tokens: int
@@ -154,38 +154,48 @@ def train(docs: DataFrame, training: Column | None = None, bits: int = BITS, max
 
     packed = rows.mapInArrow(gather, "bucket long, contexts binary, runs binary, followers binary, n binary")
 
-    def reduce_with(least: int):
-        def reduce(group: pd.DataFrame) -> pd.DataFrame:
-            joined = lambda c, kind: np.frombuffer(b"".join(group[c]), dtype=kind)
-            context = np.repeat(joined("contexts", "<u8"), joined("runs", "<u4"))
-            follower, n = joined("followers", "<u4"), joined("n", "<u4").astype(np.int64)
-            order = np.lexsort((follower, context))
-            context, follower, n = context[order], follower[order], n[order]
-            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])))
-            context, follower, n = context[first], follower[first], np.add.reduceat(n, first)
-            held = n >= least
-            data = segment(key_of(context[held], follower[held]), n[held], bits)
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            return pd.DataFrame({"bucket": [group.bucket.iloc[0]], "segment": [data], "word": [context[first].astype(np.int64)], "n": [np.add.reduceat(n, first)], "followers": [np.diff(np.append(first, len(context)))]})
-
-        return reduce
-
-    least, size = 1, max_filter_bytes + 1
-    while size > max_filter_bytes:
-        path = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
-        packed.groupBy("bucket").applyInPandas(reduce_with(least), "bucket long, segment binary, word array<long>, n array<long>, followers array<long>").write.parquet(path)
-        held = spark.read.parquet(path)
-        size = held.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0))).first()[0]
-        least += 1
+    def reduce(group: pd.DataFrame) -> pd.DataFrame:
+        joined = lambda c, kind: np.frombuffer(b"".join(group[c]), dtype=kind)
+        context = np.repeat(joined("contexts", "<u8"), joined("runs", "<u4"))
+        follower, n = joined("followers", "<u4"), joined("n", "<u4").astype(np.int64)
+        order = np.lexsort((follower, context))
+        context, follower, n = context[order], follower[order], n[order]
+        first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])))
+        context, follower, n = context[first], follower[first], np.add.reduceat(n, first)
+        data = segment(key_of(context, follower), n, bits)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        return pd.DataFrame({"bucket": [group.bucket.iloc[0]], "segment": [data], "word": [context[first].astype(np.int64)], "n": [np.add.reduceat(n, first)], "followers": [np.diff(np.append(first, len(context)))]})
+
+    path = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    packed.groupBy("bucket").applyInPandas(reduce, "bucket long, segment binary, word array<long>, n array<long>, followers array<long>").write.parquet(path)
+    held = spark.read.parquet(path)
     words = held.select(F.explode(F.arrays_zip("word", "n", "followers")).alias("x")).groupBy(F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"), F.sum("x.followers").alias("followers"))
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    data = np.zeros(size, dtype=np.uint8)
-    first, bytes_of, end = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64), 0
-    for r in held.select("bucket", "segment").toLocalIterator():  # max_filter_bytes at most, one part at a time
-        first[r.bucket], bytes_of[r.bucket] = end, len(r.segment)
-        data[end : end + len(r.segment)] = np.frombuffer(r.segment, dtype=np.uint8)
-        end += len(r.segment)
-    return Model(Filter(data, first, bytes_of * 8), words, tokens, distinct)
+    filters, block, size = [], [], 0
+    for r in held.select("bucket", "segment").toLocalIterator():  # one part at a time
+        if block and size + len(r.segment) > max_filter_bytes:
+            filters.append(_sent(spark, block, buckets))
+            block, size = [], 0
+        block.append((r.bucket, bytes(r.segment)))
+        size += len(r.segment)
+    filters.append(_sent(spark, block, buckets))
+    return Model(filters, words, tokens, distinct)
+
+
+def _sent(spark: SparkSession, block: list[tuple[int, bytes]], buckets: int):
+    """A broadcast filter of some buckets, of which the driver keeps no copy."""
+    first, size = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+    at = [b for b, _ in block]
+    size[at] = [len(x) for _, x in block]
+    first[at] = np.cumsum(size[at]) - size[at]
+    sent = spark.sparkContext.broadcast(Filter(np.frombuffer(b"".join(x for _, x in block), dtype=np.uint8), first, size * 8))
+    _let_go(sent)
+    return sent
+
+
+def _let_go(sent) -> None:
+    """Frees the value of a broadcast in this process; the next use reads it again."""
+    vars(sent).pop("_value", None)
 
 
 def score(docs: DataFrame, model: Model, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -194,7 +204,7 @@ def score(docs: DataFrame, model: Model, chunk_chars: int = CHUNK_CHARS) -> Data
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-chars // chunk_chars))))
     dealt = docs.select(chunk.alias("chunk"), "doc_id", "text").repartition("chunk").sortWithinPartitions("chunk")
-    sent, tokens = spark.sparkContext.broadcast(model.filter), model.tokens
+    filters, tokens = model.filters, model.tokens
     total = np.log10(model.tokens + 0.5 * (model.distinct + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -212,24 +222,44 @@ def score(docs: DataFrame, model: Model, chunk_chars: int = CHUNK_CHARS) -> Data
         own = stats.word.to_numpy(dtype=np.int64).astype(np.uint64)
         order = np.argsort(own)
         own, table = own[order], {c: stats[c].to_numpy(dtype=np.int64)[order] for c in ("n", "followers")}
-        ends, start, out = np.cumsum(texts.text.fillna("").str.len().to_numpy()), 0, []
+        ends, start, cuts = np.cumsum(texts.text.fillna("").str.len().to_numpy()), 0, []
         while start < len(texts):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_CHARS, side="right")))
-            out.append(judge_piece(texts.iloc[start:stop], own, table))
+            cuts.append(texts.iloc[start:stop])
             start = stop
+        if len(filters) == 1:
+            out = [judge_piece(c, own, table, filters[0].value.count) for c in cuts]
+        else:
+            asked = [keys_of(c) for c in cuts]
+            found = [np.zeros(len(v), dtype=np.float64) for v, _ in asked]
+            for sent in filters:  # a bigram is in the block of its bucket only; elsewhere its count is 0
+                block = sent.value
+                for (v, w), n in zip(asked, found):
+                    n += block.count(v, w)
+                del block
+                _let_go(sent)
+            out = [judge_piece(c, own, table, lambda v, w, n=n: n) for c, n in zip(cuts, found)]
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    def judge_piece(texts: pd.DataFrame, own: np.ndarray, table: dict[str, np.ndarray]) -> pd.DataFrame:
+    def tokens_of(texts: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        """Token hashes, places and starts as of hashed(); distinct bigrams as places, and which of them each token ends."""
         known, at, starts = hashed(pa.array(texts.text, pa.string()))
+        context, follower = bigrams(at, len(known))
+        context[starts[:-1]] = len(known) - 1
+        pairs, back = np.unique(context * len(known) + follower, return_inverse=True)
+        return known, at, starts, pairs // len(known), pairs % len(known), back
+
+    def keys_of(texts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        known, _, _, v, w, _ = tokens_of(texts)
+        return known[v], known[w].astype(np.uint32)
+
+    def judge_piece(texts: pd.DataFrame, own: np.ndarray, table: dict[str, np.ndarray], count) -> pd.DataFrame:
+        known, at, starts, v, w, back = tokens_of(texts)
         place = np.minimum(np.searchsorted(own, known), max(len(own) - 1, 0))
         there = own[place] == known if len(own) else np.zeros(len(known), dtype=bool)
         n, followers = (np.where(there, table[c][place], 0) if len(own) else np.zeros(len(known), dtype=np.int64) for c in ("n", "followers"))
         base = np.log10(n + 0.5) - total
-        context, follower = bigrams(at, len(known))
-        context[starts[:-1]] = len(known) - 1
-        pairs, back = np.unique(context * len(known) + follower, return_inverse=True)
-        v, w = pairs // len(known), pairs % len(known)
-        found = np.minimum(sent.value.count(known[v], known[w].astype(np.uint32)), n[v])
+        found = np.minimum(count(known[v], known[w].astype(np.uint32)), n[v])
         with np.errstate(invalid="ignore", divide="ignore"):
             p = np.where(n[v] > 0, (found + followers[v] * 10.0 ** base[w]) / (n[v] + followers[v]), 10.0 ** base[w])
         logs = np.log10(np.minimum(p, 1.0))[back]

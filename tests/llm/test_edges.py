@@ -164,6 +164,17 @@ def test_language_model_against_exact_counts(spark):
     assert np.abs(got - wanted).max() < 61 * math.log10(1.5) and np.abs(got - wanted).mean() / 61 < 0.05
 
 
+def test_language_model_keeps_all_bigrams_past_the_bound(spark):
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(i)}" for i in random.geometric(0.05, 60)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = []
+    for most in (1 << 20, 2000):
+        model = lm.train(df, max_filter_bytes=most, chunk_chars=1000)
+        scores.append((len(model.filters), lm.score(df, model, chunk_chars=4000).toPandas().sort_values("doc_id").score.to_numpy()))
+    assert scores[0][0] == 1 and scores[1][0] > 2 and np.allclose(scores[0][1], scores[1][1], rtol=0, atol=1e-9)
+
+
 def test_filter_holds_what_it_was_given():
     context, follower = np.arange(1, 3001, dtype=np.uint64), np.arange(3000, dtype=np.uint32)
     n = np.arange(3000) % 9 + 1
