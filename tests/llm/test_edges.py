@@ -145,6 +145,14 @@ def test_leak_edges(spark, wide, none):
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == {(4, 4)}
 
 
+def test_leaks_of_items_full_of_numbers(spark):
+    sum_of, mean = "What is 12 + 45 * 3 - 18 / 6 + 77 - 4 * 9 + 31 ?", "Compute the mean of 12, 15, 18, 21, 24, 27, 30, 33, 36, 39, 42, 45, 48 and 51"
+    items = spark.createDataFrame([(1, sum_of), (2, mean)], "item_id long, text string")
+    told = [(1, f"here we ask {sum_of} and go on"), (2, f"so then {mean} is the task"), (3, "to begin with we compute the mean of 3 values and leave the rest to others"), (4, "What is 2 + 3 ?")]
+    got = decontamination.find_leaks(spark.createDataFrame(told, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2)} and all(r.verbatim and r.coverage == 1.0 for r in got)
+
+
 def test_language_model_edges(wide, none):
     got = lm.score(wide, lm.train(wide)).toPandas()
     assert len(got) == len(ROWS) and np.isfinite(got.score).all() and (got.score <= 0).all()
