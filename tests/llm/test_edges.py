@@ -153,6 +153,22 @@ def test_leaks_of_items_full_of_numbers(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2)} and all(r.verbatim and r.coverage == 1.0 for r in got)
 
 
+def test_leaks_of_changed_and_cut_items(spark):
+    random, items, told = np.random.default_rng(31), [], []
+    for size, at in ((15, (7,)), (18, (9,)), (22, (11,)), (38, (12, 25)), (45, (11, 22, 33))):
+        own = ["".join(random.choice(list("abcdefgh"), 7)) for _ in range(size)]
+        changed = [*own]
+        for k in at:
+            changed[k] = "changed"
+        items.append((size, " ".join(own)))
+        told.append((size, " ".join(["before", *changed, "after"])))
+    own = ["".join(random.choice(list("abcdefgh"), 7)) for _ in range(59)]
+    items.append((59, " ".join(own)))
+    told += [(59, " ".join(["before", *own[10:42], "after"])), (60, " ".join(["before", *own[20:33], "after"])), (61, " ".join(["before", *own[20:32], "after"])), (62, " ".join([*own[20:25], "before", *own[3:8]]))]
+    got = decontamination.find_leaks(spark.createDataFrame(told, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in (15, 18, 22, 38, 45, 59)} | {(60, 59)}
+
+
 def test_language_model_edges(wide, none):
     got = lm.score(wide, lm.train(wide)).toPandas()
     assert len(got) == len(ROWS) and np.isfinite(got.score).all() and (got.score <= 0).all()
