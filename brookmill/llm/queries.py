@@ -65,7 +65,7 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return tokenfiles.read_tokens(spark, path).drop("ids")
+    return tokenfiles.read_tokens(spark, path, with_ids=False)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

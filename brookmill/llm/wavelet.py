@@ -38,10 +38,15 @@ class WaveletMatrix:
     def _bits(self, k: int) -> np.ndarray:
         return np.unpackbits(self.planes[k].view(np.uint8), bitorder="little", count=self.n).astype(bool)
 
-    def _rank(self, k: int, at: np.ndarray) -> np.ndarray:
-        """How many ones plane k has before each place."""
+    def _directory(self) -> list[np.ndarray]:
+        """Of each plane how many ones stand before each block."""
         if self._ranks is None:
             self._ranks = [np.append(0, np.cumsum(np.bitwise_count(p).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.int64))) for p in self.planes]
+        return self._ranks
+
+    def _rank(self, k: int, at: np.ndarray) -> np.ndarray:
+        """How many ones plane k has before each place."""
+        self._directory()
         at = np.asarray(at, dtype=np.int64)
         block, plane = at // BLOCK, self.planes[k]
         word = at // 64
@@ -77,29 +82,57 @@ class WaveletMatrix:
             at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
         return out
 
-    def _range(self, symbol: int, start: int, stop: int) -> tuple[int, int]:
+    def _range(self, symbol: int, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, stop = (np.asarray(x, dtype=np.int64) for x in (start, stop))
         if symbol < 0 or symbol >> len(self.planes):
-            return 0, 0
+            return start * 0, stop * 0
         for k in range(len(self.planes)):
-            a, b = self._rank(k, np.array([start, stop])).tolist()
+            a, b = self._rank(k, start), self._rank(k, stop)
             bit = symbol >> (len(self.planes) - 1 - k) & 1
             start, stop = (self.zeros[k] + a, self.zeros[k] + b) if bit else (start - a, stop - b)
         return start, stop
 
+    def counts(self, symbol: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """How often the id occurs at places from each start to before its stop."""
+        a, b = self._range(symbol, start, stop)
+        return b - a
+
     def count(self, symbol: int, start: int = 0, stop: int | None = None) -> int:
         """How often the id occurs at places from start to before stop."""
-        a, b = self._range(symbol, start, self.n if stop is None else stop)
-        return b - a
+        return int(self.counts(symbol, [start], [self.n if stop is None else stop])[0])
+
+    def _select(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Places of the nth (from 0) ones, or zeros, of plane k: by its rank directory, then within words."""
+        ranks = self._directory()[k]
+        before = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
+        block = np.searchsorted(before, nth, side="right") - 1
+        rest, plane = nth - before[block], self.planes[k] if bit else ~self.planes[k]
+        word = block * (BLOCK // 64)
+        for _ in range(BLOCK // 64 - 1):
+            held = np.bitwise_count(plane[word]).astype(np.int64)
+            ahead = rest >= held
+            # once a word holds the one that is sought, its place stays
+            rest, word = np.where(ahead, rest - held, rest), np.where(ahead, word + 1, word)
+            if not ahead.any():
+                break
+        place, value = np.zeros(len(nth), dtype=np.int64), plane[word].copy()
+        for width in (32, 16, 8, 4, 2, 1):
+            low = value & np.uint64((1 << width) - 1)
+            held = np.bitwise_count(low).astype(np.int64)
+            ahead = rest >= held
+            rest, place = np.where(ahead, rest - held, rest), np.where(ahead, place + width, place)
+            value = np.where(ahead, value >> np.uint64(width), low)
+        return word * 64 + place
 
     def select(self, symbol: int, nth: np.ndarray) -> np.ndarray:
         """The places of the nth occurrences (from 0) of the id."""
-        first, last = self._range(symbol, 0, self.n)
+        (first,), (last,) = self._range(symbol, [0], [self.n])
         at = first + np.asarray(nth, dtype=np.int64)
         if len(at) and (at.min() < first or at.max() >= last):
             raise IndexError("there are not so many occurrences")
         for k in range(len(self.planes) - 1, -1, -1):
-            bits = self._bits(k)
-            at = np.flatnonzero(bits)[at - self.zeros[k]] if symbol >> (len(self.planes) - 1 - k) & 1 else np.flatnonzero(~bits)[at]
+            bit = symbol >> (len(self.planes) - 1 - k) & 1
+            at = self._select(k, bit, at - self.zeros[k] if bit else at)
         return at
 
     def occurrences(self, symbol: int) -> np.ndarray:

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -235,6 +236,32 @@ def test_wavelet_queries():
     assert len(empty.all()) == 0 and empty.count(3) == 0
 
 
+@pytest.mark.parametrize("known_words", [0, 400_000])
+def test_token_ids_are_those_of_whole_texts(known_words):
+    own = tokenfiles.Encoder(WORDS, known_words)
+    texts = ["Hello, WORLD.: a,b ABC:: DON'T q' it's.", "x***$$ é%% 7#. 12a. a1 ÉCOLE naïve, Straße!", "<|endoftext|> <|STARTOFTEXT|> <|startoftext|>. a<|endoftext|>b", "J̌ous Kelvin İx e\u0301t\u0301 ǅ ΣΑΣ", "漢字 日本語。 \u200b x\u00a0y", "."]
+    for text in texts:
+        words = text.split()
+        ids, first, sizes = own.of_words(pa.array(words))
+        assert [i for a, n in zip(first, sizes) for i in ids[a : a + n].tolist()] == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_answer_without_decoding(spark, tmp_path):
+    random = np.random.default_rng(4)
+    rows = [(int(i), " ".join(random.choice(["stone", "river", "mill", "qzq"], int(n)))) for i, n in enumerate(random.integers(0, 40, 60))]
+    tokenfiles.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "a"), WORDS, shard_tokens=300, task_chars=2000)
+    whole = {r.doc_id: (r.start, r.ids) for r in tokenfiles.read_tokens(spark, str(tmp_path / "a")).collect()}
+    starts = np.cumsum([0] + [len(whole[d][1]) for d in sorted(whole)])[:-1]
+    assert [whole[d][0] for d in sorted(whole)] == starts.tolist()
+    token = tokenfiles.encoder(WORDS).tokenizer.encode("river", add_special_tokens=False).ids[0]
+    counts = {(r.doc_id, r.start): r.n for r in tokenfiles.count_tokens(spark, str(tmp_path / "a"), token).collect()}
+    assert counts == {(d, s): ids.count(token) for d, (s, ids) in whole.items() if token in ids}
+    places = {(r.doc_id, r.at) for r in tokenfiles.occurrences(spark, str(tmp_path / "a"), token).collect()}
+    assert places == {(d, k) for d, (_, ids) in whole.items() for k, i in enumerate(ids) if i == token}
+    assert tokenfiles.occurrences(spark, str(tmp_path / "a"), 10**6).count() == 0
+    assert {r.doc_id: r.ids for r in tokenfiles.tokens_at(spark, str(tmp_path / "a"), 3, 5).collect()} == {d: ids[3:8] for d, (_, ids) in whole.items()}
+
+
 def test_simhash_edges(wide, none):
     got = simhash.simhash_groups(wide).toPandas()
     assert len(got) == len(ROWS)
