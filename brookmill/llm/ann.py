@@ -3,16 +3,19 @@
 Vectors are dealt to shards of about `shard_rows` by a hash of the id. Each shard builds a
 directed graph (see `vamana`): greedy searches propose neighbours, relaxed distance pruning keeps
 diverse edges. Queries travel in blocks to every shard, a beam search finds the best of each, and
-exact cosines on the original vectors, in double precision, decide among these.
+exact cosines on the original vectors, in double precision, decide among the whole beam. Where
+more nodes than the beam holds are as near as single precision can tell, all of these are held
+against the query. The work of the search grows with queries times shards.
 
 Nulls and edges: a vector that is null, zero, empty or holds null or non-finite components takes
 no part, nor does a row without an id, nor one of another length than the most common; of rows
-with the same id the smallest vector counts; equal vectors of a shard are one node that carries
-all its ids. With `k` candidates or fewer all are found. Extra columns are left out.
+with the same id the smallest vector counts; vectors of one direction are one node that carries
+all its vectors and ids. With `k` candidates or fewer all are found. Extra columns are left out.
 """
 
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,13 +25,83 @@ from pyspark.sql.window import Window
 
 from . import vamana
 
-SHARD_ROWS, BLOCK_ROWS, QUERY_BEAM, TASKS = 2_500, 4_096, 96, 2_000
+SHARD_ROWS, BLOCK_ROWS, QUERY_BEAM, TASKS = 5_000, 4_096, 96, 2_000
+#: What single precision may be wrong by in a distance 1 - cosine.
+ROUNDING = 4e-6
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: cosines stay what they are, and no square overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision."""
+    return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+
+
+class Shard(NamedTuple):
+    """Vectors of a shard by direction: a graph node has the distinct vectors of one direction, and these have their ids."""
+
+    #: Distinct vectors in the order of their nodes, and where each node's start.
+    vectors: np.ndarray
+    of_node: np.ndarray
+    #: Ids in the order of their vectors, ascending within each, and where each vector's start.
+    ids: np.ndarray
+    of_vector: np.ndarray
+    units: np.ndarray
+    edges: np.ndarray
+    entries: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray) -> "Shard":
+        """ids: ascending."""
+        vectors, which = np.unique(_scaled(vectors), axis=0, return_inverse=True)
+        units, node = np.unique(_units(vectors), axis=0, return_inverse=True)
+        by_node = np.argsort(node.ravel(), kind="stable")
+        place = np.empty(len(vectors), dtype=np.int64)
+        place[by_node] = np.arange(len(vectors))
+        at = place[which.ravel()]
+        order = np.argsort(at, kind="stable")
+        starts = lambda sorted_, n: np.searchsorted(sorted_, np.arange(n + 1))
+        return cls(vectors[by_node], starts(node.ravel()[by_node], len(units)), ids[order], starts(at[order], len(vectors)), units, *vamana.build(units))
+
+    def best(self, own: np.ndarray, query: np.ndarray, k: int, beam: int) -> pd.DataFrame:
+        """query_id, id and score of each query's k nearest that the beam holds."""
+        query = _scaled(query)
+        beam = max(beam, k + 1)
+        nodes, far, _ = vamana.search(self.units, self.edges, self.entries, _units(query), beam)
+        row, column = np.nonzero(nodes >= 0)
+        node = nodes[row, column]
+        # where rounding can't tell the last of the beam from the k + 1st, or the graph led to fewer nodes than there are, all near enough are looked at
+        short = (nodes[:, -1] < 0) & ((nodes >= 0).sum(axis=1) < len(self.units))
+        tied = np.flatnonzero(short | (nodes[:, -1] >= 0) & (far[:, -1] <= far[:, k] + ROUNDING))
+        for a in range(0, len(tied), 64):
+            part = tied[a : a + 64]
+            more = 1 - _units(query[part]) @ self.units.T <= far[part, k][:, None] + ROUNDING
+            r, n = np.nonzero(more)
+            keep = ~np.isin(row, part)
+            row, node = np.append(row[keep], part[r]), np.append(node[keep], n)
+        row, vector = _spread(row, self.of_node[node], self.of_node[node + 1])
+        score = _cosines(query[row], self.vectors[vector])
+        first = self.of_vector[vector]
+        many = np.minimum(self.of_vector[vector + 1], first + k + 1)  # further copies of a vector have larger ids, and come after these
+        score, (row, at) = np.repeat(score, many - first), _spread(row, first, many)
+        out = pd.DataFrame({"query_id": own[row], "id": self.ids[at], "score": score})
+        out = out[out.query_id != out.id].sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+        return out.groupby("query_id").head(k)
+
+
+def _spread(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row once for every place from its start to before its stop, and these places."""
+    n = stop - start
+    return np.repeat(row, n), np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def usable(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     """id and v (array of double): one row for each id whose vector takes part."""
     v = F.col(vector).cast("array<double>")
@@ -52,43 +125,27 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
-        vectors, node = np.unique(np.stack(group.v), axis=0, return_inverse=True)
-        order = np.argsort(node, kind="stable")
-        ids, first = group.id.to_numpy()[order], np.searchsorted(node[order], np.arange(len(vectors) + 1))
-        units = _units(vectors)
-        return pd.DataFrame({"shard": group["shard"].iloc[:1], "graph": [pickle.dumps((vectors, ids, first, units, *vamana.build(units)))]})
+        return pd.DataFrame({"shard": group["shard"].iloc[:1], "graph": [pickle.dumps(tuple(Shard.of(group.id.to_numpy(), np.stack(group.v))))]})
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         return pd.DataFrame({"block": group["block"].iloc[:1], "asked": [pickle.dumps((group.id.to_numpy(), np.stack(group.v)))]})
 
-    graphs = rows.withColumn("shard", shard).repartition(min(shards, TASKS), "shard").groupBy("shard").applyInPandas(index, "shard int, graph binary")
+    # by ranges, since hashes of shard numbers put several shards into one task
+    graphs = rows.withColumn("shard", shard).repartitionByRange(min(shards, TASKS), "shard").groupBy("shard").applyInPandas(index, "shard int, graph binary")
     packs = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(block, "block int, asked binary")
     packs = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for graph, asked in zip(batch.graph, batch.asked):
-                vectors, ids, first, units, edges, entries = pickle.loads(graph)
+                held = Shard(*pickle.loads(graph))
                 own, query = pickle.loads(asked)
                 for a in range(0, len(own), 256):
-                    yield best(vectors, ids, first, units, edges, entries, own[a : a + 256], query[a : a + 256])
-
-    def best(vectors, ids, first, units, edges, entries, own, query) -> pd.DataFrame:
-        nodes, _, _ = vamana.search(units, edges, entries, _units(query), max(beam, k + 1))
-        nodes = nodes[:, : 4 * (k + 1)]
-        row, column = np.nonzero(nodes >= 0)
-        node = nodes[row, column]
-        a, b = query[row], vectors[node]
-        score = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-        copies = np.minimum(np.diff(first)[node], k + 1)  # further copies of a vector have larger ids, and come after these
-        at = np.repeat(first[node] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
-        out = pd.DataFrame({"query_id": np.repeat(own[row], copies), "id": ids[at], "score": np.repeat(score, copies)})
-        out = out[out.query_id != out.id].sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-        return out.groupby("query_id").head(k)
+                    yield held.best(own[a : a + 256], query[a : a + 256], k, beam)
 
     kind = rows.schema["id"].dataType.simpleString()
-    pairs = graphs.join(packs, "shard").repartition(min(shards * blocks, TASKS), "shard", "block")
+    pairs = graphs.join(packs, "shard").repartitionByRange(min(shards * blocks, TASKS), "shard", "block")
     found = pairs.select("graph", "asked").mapInPandas(answer, f"query_id {kind}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")

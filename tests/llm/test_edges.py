@@ -53,6 +53,29 @@ def test_nearest_edges(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def exact_nearest(x: np.ndarray, q: int, k: int = 5) -> list[int]:
+    y = x / np.abs(x).max(axis=1, keepdims=True)
+    score = (y @ y[q]) / (np.linalg.norm(y, axis=1) * np.linalg.norm(y[q]))
+    score[q] = -2
+    return np.lexsort((np.arange(len(x)), -score))[:k].tolist()
+
+
+def test_nearest_of_equal_directions(spark):
+    df = spark.createDataFrame([(i, [2.0**i, 0.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("id") == 50).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 3, 4] and all(r.score == 1.0 for r in got)
+
+
+def test_nearest_among_near_copies_and_huge_components(spark):
+    random = np.random.default_rng(8)
+    base = random.normal(size=16)
+    x = base + 1e-4 * random.normal(size=(400, 16))
+    x[::7] *= 1e200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("id") % 40 == 0, shard_rows=150).orderBy("query_id", "rank").toPandas()
+    assert {q: g.vec_id.tolist() for q, g in got.groupby("query_id")} == {q: exact_nearest(x, q) for q in range(0, 400, 40)}
+
+
 def test_nearest_over_shards_and_graph_degree(spark):
     x = np.random.default_rng(3).normal(size=(900, 24)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
