@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bktree import Forest
 from .common import mix64, saved, whole_rows
@@ -37,6 +38,8 @@ MAX_SHARD = 20_000
 PIECE = 200_000
 #: Texts that share a prefix shingle and are paired in one task; rows that a task holds; pairs that it looks at at once.
 MAX_BUCKET, BUCKET_ROWS, PAIRS = 2_000, 100_000, 1_000_000
+#: Bits of a text's sketch at most; bytes of sketches that are compared at once.
+MAX_SKETCH, SKETCH_BYTES = 8192, 16 << 20
 #: Shingles' frequencies are counted by so many leading bits of their hashes.
 RANGE_BITS = 18
 
@@ -177,17 +180,53 @@ def prefix(distinct: np.ndarray, frequency: np.ndarray, similarity: float) -> np
     return distinct[order[: len(distinct) - int(np.ceil(similarity * len(distinct) - 1e-9)) + 1]]
 
 
+def sketch(distinct: np.ndarray) -> bytes:
+    """A bit for each place of a table, set if an odd number of the shingles fall there.
+
+    The table has twice as many places as there are shingles, to a power of two, MAX_SKETCH at most.
+    Two sets differ in at least as many shingles as their sketches in bits, so few common shingles
+    show without the sets at hand.
+    """
+    bits = min(MAX_SKETCH, max(64, 1 << int(2 * len(distinct) - 1).bit_length())) if len(distinct) else 64
+    odd = np.bincount((distinct & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def apart(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches (an object array of bytes) at a and b differ; the larger one is folded to the smaller."""
+    size = np.fromiter(map(len, sketches), dtype=np.int64, count=len(sketches))
+    small, out = np.minimum(size[a], size[b]), np.zeros(len(a), dtype=np.int64)
+
+    def folded(at: np.ndarray, width: int) -> np.ndarray:
+        rows = np.zeros((len(at), width // 8), dtype=np.uint64)
+        for own in np.unique(size[at]).tolist():
+            of = size[at] == own
+            bits = np.frombuffer(b"".join(sketches[at[of]]), dtype=np.uint64).reshape(-1, own // width, width // 8)
+            rows[of] = np.bitwise_xor.reduce(bits, axis=1)
+        return rows
+
+    for width in np.unique(small).tolist():
+        pairs = np.flatnonzero(small == width)
+        used, places = np.unique(np.concatenate([a[pairs], b[pairs]]), return_inverse=True)
+        rows, places = folded(used, width), places.reshape(2, -1)
+        step = max(1, SKETCH_BYTES // width)
+        for start in range(0, len(pairs), step):
+            x, y = (rows[places[side, start : start + step]] for side in (0, 1))
+            out[pairs[start : start + step]] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _with_signature(docs: DataFrame, words: int, similarity: float, propose_words: int, bits: int, text: str) -> DataFrame:
-    """docs with fingerprint (of the distinct shingles), size (of the set that decides) and prefix."""
+    """docs with fingerprint (of the distinct shingles), size (of the set that decides), prefix and sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select("row.doc_id", "row.text"), words))
 
-    @F.pandas_udf("fingerprint string, size int, prefix array<long>")
+    @F.pandas_udf("fingerprint string, size int, prefix array<long>, sketch binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             own = np.unique(shingles(t, words))
-            out.append((fingerprint(np.unique(shingles(t, propose_words)), bits), max(1, len(own)), prefix(own, sent.value, similarity).view(np.int64)))
-        return pd.DataFrame(out, columns=["fingerprint", "size", "prefix"])
+            out.append((fingerprint(np.unique(shingles(t, propose_words)), bits), max(1, len(own)), prefix(own, sent.value, similarity).view(np.int64), sketch(own)))
+        return pd.DataFrame(out, columns=["fingerprint", "size", "prefix", "sketch"])
 
     return docs.withColumn("_made", of(F.col(text))).select("*", "_made.*")
 
@@ -195,96 +234,71 @@ def _with_signature(docs: DataFrame, words: int, similarity: float, propose_word
 class _Buckets:
     """Pairs of texts that share a prefix shingle, are not joined yet and can still be alike enough.
 
-    Rows (sig, comp, id, size, pos, side) come by sig and comp. Where the texts' first common
-    shingle stands at pos, only the shingles from there on can be common. Rows of a bucket of
-    over `limit` go out as they are, to be dealt again.
+    Rows (sig, comp, id, size, pos, side, sketch) come by sig and comp. Where the texts' first
+    common shingle stands at pos, only the shingles from there on can be common; and sets differ in
+    as many shingles as their sketches in bits, or more.
     """
 
-    COLUMNS = ["sig", "comp", "id", "size", "pos", "side"]
-    SCHEMA = "large boolean, sig long, comp long, id long, size int, pos int, side int, other long"
+    COLUMNS = ["sig", "comp", "id", "size", "pos", "side", "sketch"]
 
-    def __init__(self, similarity: float, limit: int | None):
-        self.similarity, self.limit = similarity, limit
+    def __init__(self, similarity: float):
+        self.similarity = similarity
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, open_one = None, None  # open_one: the large bucket whose first rows are out
+        held = None
         for batch in batches:
             rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in self.COLUMNS]
             held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-            if len(held[0]) < BUCKET_ROWS:
-                continue
-            n, last = len(held[0]), int(np.searchsorted(held[0], held[0][-1]))
-            cut = self.limit is not None and n - last > self.limit
-            whole = n if cut else last
-            yield from self._run([x[:whole] for x in held], open_one)
-            if whole:
-                open_one = held[0][-1] if cut else None
-            held = [x[whole:] for x in held]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) >= BUCKET_ROWS else 0
+            if last:
+                yield from self._run([x[:last] for x in held])
+                held = [x[last:] for x in held]
         if held is not None and len(held[0]):
-            yield from self._run(held, open_one)
-
-    def _run(self, rows: list[np.ndarray], large) -> Iterator[pa.RecordBatch]:
-        if not len(rows[0]):
-            return
-        sig, comp = rows[0], rows[1]
-        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        sizes = np.diff(np.append(first, len(sig)))
-        if self.limit is not None:
-            wide = np.repeat((sizes > self.limit) | (sig[first] == large if large is not None else np.zeros(len(first), dtype=bool)), sizes)
-            if wide.any():
-                yield self._out(True, [x[wide] for x in rows], None)
-                rows = [x[~wide] for x in rows]
-                sig, comp = rows[0], rows[1]
-                first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=np.int64)
-                sizes = np.diff(np.append(first, len(sig)))
-        if not len(sig):
-            return
-        ends = np.repeat(first + sizes, sizes)
-        starts = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])))
-        own = np.diff(np.append(starts, len(sig)))
-        other = np.repeat(starts + own, own)
-        _, _, id_, size, pos, side = rows
-        many = ends - other
+            yield from self._run(held)
+
+    def _run(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, comp, id_, size, pos, side, sketches = rows
+        stops = lambda fresh: np.repeat(np.append(np.flatnonzero(fresh)[1:], len(sig)), np.diff(np.append(np.flatnonzero(fresh), len(sig))))
+        fresh = np.append(True, sig[1:] != sig[:-1])
+        other = stops(fresh | np.append(True, comp[1:] != comp[:-1]))  # the first row of the bucket's next comp
+        many = stops(fresh) - other
         cost, start = np.cumsum(many), 0
         while start < len(sig):
             stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + PAIRS, side="right")))
             n = many[start:stop]
             a = np.repeat(np.arange(start, stop), n)
             b = np.repeat(other[start:stop] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            x, y = size[a].astype(np.int64), size[b].astype(np.int64)
-            most = 1 + np.minimum(x - pos[a] - 1, y - pos[b] - 1)
             # side -1: every two rows of the bucket meet
-            keep = (most >= self.similarity / (1 + self.similarity) * (x + y) - 1e-9) & (np.minimum(x, y) >= self.similarity * np.maximum(x, y) - 1e-9) & ((side[a] < 0) | (side[a] != side[b])) & (id_[a] != id_[b])
+            a, b = (x[((side[a] < 0) | (side[a] != side[b])) & (id_[a] != id_[b])] for x in (a, b))
+            both = size[a].astype(np.int64) + size[b]
+            needed = self.similarity / (1 + self.similarity) * both - 1e-9
+            likely = (1 + np.minimum(size[a] - pos[a] - 1, size[b] - pos[b] - 1) >= needed) & (np.minimum(size[a], size[b]) >= self.similarity * np.maximum(size[a], size[b]) - 1e-9)
+            a, b, both, needed = a[likely], b[likely], both[likely], needed[likely]
+            keep = (both - apart(sketches, a, b)) / 2 >= needed
             if keep.any():
-                low, high = np.minimum(id_[a[keep]], id_[b[keep]]), np.maximum(id_[a[keep]], id_[b[keep]])
-                pairs = np.unique(np.stack([low, high], axis=1), axis=0)
-                yield self._out(False, [pairs[:, 0] * 0, pairs[:, 0] * 0, pairs[:, 0], pairs[:, 0] * 0, pairs[:, 0] * 0, pairs[:, 0] * 0], pairs[:, 1])
+                pairs = np.unique(np.sort(np.stack([id_[a[keep]], id_[b[keep]]], axis=1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "other"])
             start = stop
 
-    def _out(self, large: bool, rows: list[np.ndarray], other) -> pa.RecordBatch:
-        n = len(rows[0])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        values = [pa.array(np.full(n, large)), *[pa.array(r).cast(k) for r, k in zip(rows, kinds)], pa.array(other if other is not None else np.zeros(n, dtype=np.int64))]
-        return pa.RecordBatch.from_arrays(values, ["large", *self.COLUMNS, "other"])
-
 
 def _sharing(rows: DataFrame, similarity: float, limit: int) -> DataFrame:
-    """id, other: every pair of rows (id, comp, size, prefix) of different comp that may be `similarity` alike.
+    """id, other: every pair of rows (id, comp, size, prefix, sketch) of different comp that may be `similarity` alike.
 
-    Buckets of over `limit` texts with several comps are dealt over the cells of a grid, each
-    holding two parts of the bucket, so that every two of its texts still meet.
+    Only shingles that rows of several comps share keep their bucket. Buckets of over `limit` texts
+    are dealt over the cells of a grid, each holding two parts of the bucket, so that every two of
+    its texts still meet.
     """
-    within = lambda df, most: df.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_Buckets(similarity, most), _Buckets.SCHEMA)
-    one = rows.select("comp", "id", "size", F.posexplode("prefix").alias("pos", "sig")).select("sig", "comp", "id", "size", "pos", F.lit(-1).alias("side"))
-    found = saved(within(one, limit))
-    pairs, large = found.where("not large").select("id", "other"), found.where("large")
-    parts = large.groupBy("sig").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig", "parts")
-    cut = large.join(parts, "sig").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = cut.select("sig", "comp", "id", "size", "pos", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+    one = rows.select("comp", "id", "size", F.posexplode("prefix").alias("pos", "sig"))
+    bucket = Window.partitionBy("sig")
+    shared = one.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket), "n": F.count("*").over(bucket)}).where("low < high")
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    cells = shared.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = cells.select("sig", "comp", "id", "size", "pos", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
     # within a cell of two parts only texts of different parts meet; those of one part meet in its own cell
     side = F.when(F.col("part") == F.col("to"), -1).otherwise(F.col("part")).alias("side")
     dealt = cells.select(F.xxhash64("sig", F.least("part", "to"), F.greatest("part", "to")).alias("sig"), "comp", "id", "size", "pos", side)
-    return pairs.union(within(dealt, None).select("id", "other")).distinct()
+    dealt = dealt.join(rows.select("id", "sketch"), "id").select(*_Buckets.COLUMNS)
+    return dealt.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_Buckets(similarity), "id long, other long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, propose_words: int = 2, bits: int = 256, radius: int = 52, max_shard: int = MAX_SHARD, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -297,7 +311,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     shards by blocks of 16 bits; within a shard's BK-tree every text meets its nearest and its
     first earlier neighbour within the radius. Then a prefix filter proposes all the rest: two
     texts this similar share one of their rarest shingles, so every two that do, that aren't
-    joined by verified links and whose sizes and places allow it, are held against each other.
+    joined by verified links and whose sizes, places and sketches allow it, are held against each other.
     What SimHash misses therefore costs time and changes no result.
 
     Equal texts always meet. A repeated row (same id and text) is kept once. A null doc_id sorts
@@ -306,7 +320,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     text = F.coalesce("row.text", F.lit(""))
     keyed = whole_rows(docs).withColumn("_digest", F.sha2(text, 256)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "_digest"))
     made = _with_signature(keyed.select("row", "_digest"), words, similarity, propose_words, bits, "row.text")
-    texts = saved(made.groupBy("_digest").agg(F.first("fingerprint").alias("fingerprint"), F.min("row.doc_id").alias("lowest"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    texts = saved(made.groupBy("_digest").agg(F.first("fingerprint").alias("fingerprint"), F.min("row.doc_id").alias("lowest"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
     distinct = saved(texts.groupBy("fingerprint").agg(F.min("_digest").alias("digest")))
 
     blocks = bits // 16
@@ -332,11 +346,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         return pairs.where(jaccard("text_a", "text_b") >= similarity).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
     joined = components(verified(proposed))
-    rows = texts.join(joined, texts._digest == joined.node, "left").select(F.xxhash64("_digest").alias("id"), F.xxhash64(F.coalesce("component", "_digest")).alias("comp"), "size", "prefix")
+    rows = texts.join(joined, texts._digest == joined.node, "left").select(F.xxhash64("_digest").alias("id"), F.xxhash64(F.coalesce("component", "_digest")).alias("comp"), "size", "prefix", "sketch")
     numbers = texts.select(F.xxhash64("_digest").alias("id"), "_digest")
-    apart = _sharing(rows, similarity, max_bucket)
-    apart = apart.join(numbers.toDF("id", "digest_a"), "id").join(numbers.toDF("other", "digest_b"), "other").select("digest_a", "digest_b")
-    links = verified(saved(apart))
+    unlinked = _sharing(rows, similarity, max_bucket)
+    unlinked = unlinked.join(numbers.toDF("id", "digest_a"), "id").join(numbers.toDF("other", "digest_b"), "other").select("digest_a", "digest_b")
+    links = verified(saved(unlinked))
     group = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     named = texts.join(group, texts._digest == group.node, "left").select("_digest", "lowest", F.coalesce("component", "_digest").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("lowest").isNull().alias("no_id"), "lowest", "_digest")).alias("first"))

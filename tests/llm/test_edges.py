@@ -392,6 +392,18 @@ def test_near_duplicates_within_a_template(spark):
     assert kept_of(spark, texts, radius=0, max_bucket=1) == wanted
 
 
+def test_sketches_differ_no_more_than_sets():
+    random = np.random.default_rng(25)
+    pool = random.integers(0, 2**63, 40_000, dtype=np.uint64)
+    sets = [np.unique(random.choice(pool, n)) for n in (0, 1, 30, 40, 300, 380, 9000, 11_000, 30_000)]
+    near = [np.unique(np.append(s[: int(0.9 * len(s))], random.choice(pool, max(1, len(s) // 20)))) for s in sets]
+    sketches = np.array([simhash.sketch(s) for s in sets + near], dtype=object)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(18), np.arange(18)))
+    far = simhash.apart(sketches, a, b)
+    assert (far <= [len(np.setxor1d((sets + near)[i], (sets + near)[j])) for i, j in zip(a, b)]).all()
+    assert (far[a == b] == 0).all() and far[(a == 4) & (b == 5)][0] > 200
+
+
 def test_near_duplicates_of_equal_fingerprint(spark):
     random, texts = np.random.default_rng(24), []
     for _ in range(12):  # all nine word pairs of three words
