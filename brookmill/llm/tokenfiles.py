@@ -37,6 +37,8 @@ END, SHARD_TOKENS, TASK_CHARS = 1, 4_000_000, 32_000_000
 KNOWN_WORDS, JOINED = 400_000, 500
 #: Parts that are summed up together when places are counted.
 PARTS = 1024
+#: Shards whose starts (three numbers each) may be broadcast; those of more are joined.
+BROADCAST_SHARDS = 500_000
 #: A run of ASCII marks that is cut from a word's end, after a letter or digit.
 MARKS = r"[!-/:-@\[-`{-~]*$"
 
@@ -182,6 +184,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("lot", "part", ahead(before("part").partitionBy("lot")).alias("of_parts"))
     starts = shards.withColumn("of_shards", ahead(before("seq").partitionBy("lot", "part"))).join(parts, ["lot", "part"]).join(lots, "lot")
     starts = starts.select("part", "seq", F.expr("of_lots + of_parts + of_shards").alias("shard_start"))
+    if files.count() <= BROADCAST_SHARDS:  # so that the files stay where they are
+        starts = F.broadcast(starts)
     return files.select("part", "seq", "file").join(starts, ["part", "seq"])
 
 
