@@ -1,12 +1,19 @@
 """Text as Column expressions: keys, addresses, urls, labels, hashes. Nulls stay null unless said."""
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Providers whose domain says nothing about a company.
 SHARED_DOMAINS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "googlegroups.com", "groups.google.com", "google.com", "linkedin.com", "indeed.com", "dice.com", "yahoogroups.com")
-#: HTML entities that strip_html turns into characters, the ampersand last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# Lines and names that are no company's.
+NO_COMPANY_STARTS = "keywords?|subject|from|to|location|job title|required skills|disclaimer|confidentiality|please|dear|hello|regards|thanks"
+NO_COMPANY_PARTS = "unsubscribe|years of experience|we are looking|click here|all rights reserved"
+NO_COMPANY_NAMES = ("unknown", "confidential", "client", "company", "n/a", "na")
+# Tags that end a line.
+BLOCK_TAG = r"(?i)</?(?:br|p|div|tr|li|h[1-6]|table)\b[^>]*>"
 
 
 def squeezed(x: Column) -> Column:
@@ -64,9 +71,17 @@ def corporate_domain(x: Column, shared: tuple[str, ...] = SHARED_DOMAINS) -> Col
 
 
 def company_name(x: Column) -> Column:
-    """Squeezed name without punctuation at either end; null under two or over 120 characters, or without a letter."""
-    name = F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), r"^[\s,;:|.-]+|[\s,;:|-]+$", "")
-    return F.when((F.length(name) >= 2) & (F.length(name) <= 120) & name.rlike("[A-Za-z]"), name)
+    """A company's name out of a line: squeezed, up to a bar or a street number, without marks at either end.
+
+    Null for lines of another kind, names of under 2 or over 100 characters or of over 12 words, and
+    names that say nothing.
+    """
+    line = F.trim(F.regexp_replace(x, r"\s+", " "))
+    name = F.regexp_replace(F.substring_index(line, "|", 1), "^[ ,;:-]+|[ ,;:-]+$", "")
+    name = F.trim(F.get(F.split(name, r",\s*[0-9]{1,6}\s", 2), F.lit(0)))
+    label = line.rlike(rf"(?i)^(?:{NO_COMPANY_STARTS})(?![A-Za-z0-9_])") | line.rlike(f"(?i){NO_COMPANY_PARTS}")
+    size, low = F.length(name), F.lower(name)
+    return F.when(~label & (size >= 2) & (size <= 100) & (F.size(F.split(name, " ")) <= 12) & ~name.contains("@") & ~low.contains("http") & ~low.isin(*NO_COMPANY_NAMES), name)
 
 
 def url_scheme(x: Column) -> Column:
@@ -86,12 +101,19 @@ def clean_url(x: Column) -> Column:
 
 def strip_html(x: Column) -> Column:
     """Text of HTML: block tags end lines, other tags are spaces, entities are read, white space is squeezed."""
-    out = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)</?(?:br|p|div|tr|li|h[1-6]|table)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, "<[^>]+>", " ")
-    for entity, character in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(character))
+    out = unescaped(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), BLOCK_TAG, "\n"), "<[^>]+>", " "))
     out = F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n[ \t]+", "\n")
-    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+
+
+def unescaped(x: Column) -> Column:
+    """Text with HTML entities of all names and numbers as characters; SQL has no function for these."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return of(x)
 
 
 def like_escaped(text: str) -> str:

@@ -49,7 +49,7 @@ def text_quality(x: Column) -> Column:
 def intent(x: Column) -> Column:
     """HOTLIST, RESUME, JOB, QUESTION or UNKNOWN, by the first vocabulary that the text holds a word of."""
     low = F.lower(F.coalesce(x, F.lit("")))
-    available = low.rlike(r"(^|[^a-z0-9_])(developer|engineer|consultant|candidate|resources?|profiles?)([^a-z0-9_.][^.]{0,24}|)[^a-z0-9_.]available([^a-z0-9_]|$)")
+    available = low.rlike(r"(^|[^a-z0-9_])(developer|engineer|consultant|candidate|resources?|profiles?)([^a-z0-9_.][^.]{0,23}|)[^a-z0-9_.]available([^a-z0-9_]|$)")
     return F.when(_any(low, HOTLIST_WORDS) | available, "HOTLIST").when(_any(low, RESUME_WORDS), "RESUME").when(_any(low, JOB_WORDS), "JOB").when(_any(low, QUESTION_WORDS), "QUESTION").otherwise("UNKNOWN")
 
 

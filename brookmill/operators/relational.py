@@ -62,10 +62,11 @@ def changed(new: DataFrame, seen: DataFrame, keys: list[str], version: str) -> D
 
 
 def first_seen(df: DataFrame, key: str, order: list[str], id_column: str) -> DataFrame:
-    """df with duplicate_of: the id of the earliest row with the same key, null on that row itself."""
-    earliest = df.groupBy(key).agg(F.min_by(id_column, F.struct(*order)).alias("_first"))
+    """df with duplicate_of: the id of the earliest row with the same key, null on that row itself. A null key is a key like others."""
+    earliest = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(id_column, F.struct(*order)).alias("_first"))
     other = F.when(F.col("_first") != F.col(id_column), F.col("_first"))
-    return df.join(earliest, key).withColumn("duplicate_of", other).drop("_first").select(*df.columns, "duplicate_of")
+    joined = df.join(earliest, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn("duplicate_of", other).select(*df.columns, "duplicate_of")
 
 
 def counters(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
@@ -129,7 +130,7 @@ def merged_groups(df: DataFrame, key: str, priority: Column, sum_column: str, se
     return df.groupBy(key).agg(
         F.min_by(id_column, F.struct(priority, F.col(id_column))).alias(id_column),
         F.sum(sum_column).alias(sum_column),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(s)))).alias(s) for s in sets],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(s)))).alias(s) for s in sets],
         F.min(first).alias(first),
         F.max(last).alias(last),
         F.count("*").alias("merged"),

@@ -1,6 +1,8 @@
 """Dictionary joins: terms found in texts, terms resolved, related names, merged candidates."""
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from brookmill.functions.fuzzy import ratio
@@ -8,6 +10,9 @@ from brookmill.functions.text import identity_key, taxonomy_key
 
 from .relational import top_per_key
 
+#: Dictionary entries that a plan holds itself.
+INLINE_ENTRIES = 5_000
+
 
 def phrases(df: DataFrame, id_column: str, text: str, longest: int) -> DataFrame:
     """id, at (word number) and phrase of every run of one to `longest` words of the text's key."""
@@ -17,14 +22,36 @@ def phrases(df: DataFrame, id_column: str, text: str, longest: int) -> DataFrame
     return words.select(id_column, F.inline(runs)).where("phrase != ''")
 
 
-def found_terms(df: DataFrame, dictionary: DataFrame, id_column: str, text: str, longest: int = 3) -> DataFrame:
-    """id, canonical, kind and first place of each dictionary entry in each text.
-
-    The texts' word runs are joined with the entries' keys, so the work grows with the texts and
-    not with texts times entries. A canonical name beats an alias.
+def _fetched(df: DataFrame, entries: list[Row], id_column: str, text: str) -> DataFrame:
+    """id, at, phrase, canonical and kind of every place of the entries in the texts."""
+    index: dict[str, list] = {}
+    for e in sorted(entries):
+        own = e.phrase.split(" ")
+        longest = max(own, key=len)
+        index.setdefault(longest, []).append({"phrase": e.phrase, "canonical": e.canonical, "kind": e.kind, "words": len(own), "before": own.index(longest)})
+    filed = F.from_json(F.lit(json.dumps(index)), "map<string,array<struct<phrase:string,canonical:string,kind:string,words:int,before:int>>>")
+    words = df.select(id_column, F.split(taxonomy_key(F.col(text)), " ").alias("_words"))
+    held = F.array_intersect("_words", F.from_json(F.lit(json.dumps(sorted(index))), "array<string>"))
+    met = words.withColumn("_held", held).where(F.size("_held") > 0)
+    met = met.select(id_column, "_words", F.explode("_held").alias("_word"))
+    places = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: F.get(F.col("_words"), i - 1) == F.col("_word"))
+    met = met.withColumn("_at", places).select(id_column, "_words", "_at", F.explode(F.try_element_at(filed, F.col("_word"))).alias("e"))
+    starts = F.filter(F.transform("_at", lambda i: i - F.col("e.before")), lambda i: (i >= 1) & (F.array_join(F.slice("_words", F.greatest(i, F.lit(1)), F.col("e.words")), " ") == F.col("e.phrase")))
+    return met.select(id_column, F.explode(starts).alias("at"), "e.phrase", "e.canonical", "e.kind")
+
+
+def found_terms(df: DataFrame, dictionary: DataFrame, id_column: str, text: str, longest: int = 3, inline: int = INLINE_ENTRIES) -> DataFrame:
+    """id, canonical, kind and first place of each dictionary entry of up to `longest` words in each text.
+
+    Entries are filed under their longest word. Up to `inline` entries the plan itself holds them: a
+    text's distinct words fetch entries, and only these are looked for. More entries are joined with
+    the texts' word runs. Either way the work grows with the texts and not with texts times entries.
+    A canonical name beats an alias.
     """
-    entries = dictionary.select(taxonomy_key(F.col("alias")).alias("phrase"), "canonical", "kind").dropDuplicates(["phrase", "canonical"])
-    hits = phrases(df, id_column, text, longest).join(entries, "phrase")
+    entries = dictionary.select(taxonomy_key(F.col("alias")).alias("phrase"), "canonical", "kind").where("phrase != ''").dropDuplicates(["phrase", "canonical"])
+    entries = entries.where(F.size(F.split("phrase", " ")) <= longest)
+    few = entries.limit(inline + 1).collect()
+    hits = _fetched(df, few, id_column, text) if len(few) <= inline else phrases(df, id_column, text, longest).join(entries, "phrase")
     best = F.min(F.struct(F.when(F.col("kind") == "canonical", 0).otherwise(1).alias("o"), "at", "kind")).alias("best")
     return hits.groupBy(id_column, "canonical").agg(best, F.count("*").alias("hits")).select(id_column, "canonical", "best.kind", F.col("best.at").alias("first_at"), "hits")
 
@@ -32,13 +59,24 @@ def found_terms(df: DataFrame, dictionary: DataFrame, id_column: str, text: str,
 def resolve_fuzzy(terms: DataFrame, dictionary: DataFrame, term: str, least: float = 94.0, margin: float = 3.0) -> DataFrame:
     """terms with canonical and score: the closest entry at least `least` alike and `margin` ahead of the next.
 
-    Two strings that are 94 % alike differ little in length and share one of their halves' ends:
-    candidates meet on the first or the last two characters and a length band.
+    Terms of under six characters are left alone. Two strings this alike are d inserted or deleted
+    characters apart, d at most (1 - least / 100) times their lengths together, and each of these
+    takes three trigrams away at most. So in any one order of trigrams the first 3 d + 1 of either
+    string hold a common one: candidates meet there, and none is lost.
     """
-    keys = lambda x: F.array_distinct(F.array(F.concat(F.lit("a"), F.substring(x, 1, 2)), F.concat(F.lit("z"), F.substring(x, -2, 2))))
+    apart = 1 - least / 100
+    most = lambda x: F.floor(F.length(x) * apart * (1 + (1 + apart) / (1 - apart)) + 1e-9)
+
+    def keys(x: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))
+        # repeated ones are numbered, so that they count apart
+        numbered = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+        ordered = F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("o"), g.alias("g"))))
+        return F.transform(F.slice(ordered, F.lit(1), (3 * most(x) + 1).cast("int")), lambda s: s["g"])
+
     left = terms.select(term).distinct().withColumn("_t", taxonomy_key(F.col(term))).where(F.length("_t") >= 6).withColumn("_k", F.explode(keys(F.col("_t"))))
-    right = dictionary.select("canonical", taxonomy_key(F.col("alias")).alias("_e")).withColumn("_k", F.explode(keys(F.col("_e"))))
-    near = left.join(right, "_k").where(F.abs(F.length("_t") - F.length("_e")) <= F.greatest(F.length("_t"), F.length("_e")) * 0.13).select(term, "_t", "canonical", "_e").distinct()
+    right = dictionary.select("canonical", taxonomy_key(F.col("alias")).alias("_e")).where(F.length("_e") >= 3).withColumn("_k", F.explode(keys(F.col("_e"))))
+    near = left.join(right, "_k").where(F.abs(F.length("_t") - F.length("_e")) <= F.least(most(F.col("_t")), most(F.col("_e")))).select(term, "_t", "canonical", "_e").distinct()
     scored = near.withColumn("score", ratio("_t", "_e")).groupBy(term, "canonical").agg(F.max("score").alias("score"))
     ranked = top_per_key(scored, [term], [F.desc("score"), F.asc("canonical")], 2).groupBy(term).agg(F.max(F.struct("score", "canonical")).alias("best"), F.min("score").alias("next"), F.count("*").alias("n"))
     sure = ranked.where((F.col("best.score") >= least) & ((F.col("n") == 1) | (F.col("best.score") - F.col("next") >= margin)))

@@ -16,8 +16,8 @@ TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def newest(df: DataFrame, column: str) -> Column:
-    """The greatest value of a column, as a literal: the time that a report is as of."""
-    return F.lit(df.agg(F.max(column)).first()[0])
+    """The greatest value of a column, as a scalar subquery of the same plan: the time that a report is as of."""
+    return df.agg(F.max(column)).scalar()
 
 
 @query("""
@@ -80,7 +80,7 @@ def queue_health_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     queues = events.groupBy("event_type").agg(F.count("*").alias("pending"), F.min("ts").alias("oldest"), F.countDistinct("user_id").alias("users"))
     seen = queues.where((F.col("event_type") != "error") | (F.col("users") >= 8)).drop("users")
-    as_of = F.lit(events.agg(F.date_trunc("second", F.max("ts"))).first()[0])
+    as_of = events.agg(F.date_trunc("second", F.max("ts"))).scalar()
     return seen.withColumn("oldest_days", whole_days(F.col("oldest"), as_of))
 
 

@@ -23,7 +23,7 @@ def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after all events: each user's last."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    half = F.lit(events.agg(F.avg("event_id")).first()[0])
+    half = events.agg(F.avg("event_id")).scalar()
     state = relational.latest(events.where(F.col("event_id") < half), ["user_id"], ["ts", "event_id"])
     return relational.upsert(state, events.where(F.col("event_id") >= half), ["user_id"], ["ts", "event_id"])
 
@@ -48,7 +48,7 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of two halves of the events, added up."""
     events = table(spark, sf_dir, "events")
-    keys, half = ["event_type", "props"], F.lit(events.agg(F.avg("event_id")).first()[0])
+    keys, half = ["event_type", "props"], events.agg(F.avg("event_id")).scalar()
     return relational.add_counters(relational.counters(events.where(F.col("event_id") < half), keys), relational.counters(events.where(F.col("event_id") >= half), keys), keys)
 
 

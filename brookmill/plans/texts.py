@@ -22,8 +22,8 @@ def term_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '</?(?:br|p|div|tr|li|h[1-6]|table)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g') AS a FROM pages),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(a, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS a FROM t)
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM u""")
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(a, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS a FROM t)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS text FROM u""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
 
@@ -50,7 +50,7 @@ def _contains(words: tuple[str, ...]) -> str:
 
 @query(f"""
 WITH t AS (SELECT doc_id, lower(text) AS low FROM documents),
-i AS (SELECT doc_id, CASE WHEN {_contains(extract.HOTLIST_WORDS)} OR regexp_matches(low, '(^|[^a-z0-9_])(developer|engineer|consultant|candidate|resources?|profiles?)([^a-z0-9_.][^.]{{0,24}}|)[^a-z0-9_.]available([^a-z0-9_]|$)') THEN 'HOTLIST' WHEN {_contains(extract.RESUME_WORDS)} THEN 'RESUME' WHEN {_contains(extract.JOB_WORDS)} THEN 'JOB' WHEN {_contains(extract.QUESTION_WORDS)} THEN 'QUESTION' ELSE 'UNKNOWN' END AS intent FROM t)
+i AS (SELECT doc_id, CASE WHEN {_contains(extract.HOTLIST_WORDS)} OR regexp_matches(low, '(^|[^a-z0-9_])(developer|engineer|consultant|candidate|resources?|profiles?)([^a-z0-9_.][^.]{{0,23}}|)[^a-z0-9_.]available([^a-z0-9_]|$)') THEN 'HOTLIST' WHEN {_contains(extract.RESUME_WORDS)} THEN 'RESUME' WHEN {_contains(extract.JOB_WORDS)} THEN 'JOB' WHEN {_contains(extract.QUESTION_WORDS)} THEN 'QUESTION' ELSE 'UNKNOWN' END AS intent FROM t)
 SELECT doc_id, intent, CASE intent WHEN 'HOTLIST' THEN 0.85 WHEN 'RESUME' THEN 0.80 WHEN 'JOB' THEN 0.90 WHEN 'QUESTION' THEN 0.70 ELSE 0.40 END::DOUBLE AS confidence FROM i""")
 def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = extract.intent(F.col("text"))

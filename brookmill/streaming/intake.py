@@ -63,10 +63,11 @@ def windowed_counts(stream: DataFrame, at: str, key: str, width: str, delay: str
 
 
 def sessions(stream: DataFrame, seconds: int = SESSION_SECONDS) -> DataFrame:
-    """The state of each user's conversation (columns channel, user_id, action or null, text).
+    """The state of each user's conversation (columns channel, user_id, action or null, text, at).
 
     An action makes the session wait for input, the next input finishes it; a session without
-    messages for the given time expires. One row for each change.
+    messages for the given time expires. One row for each change. Messages of one batch are taken in
+    the order of `at`, those of one time with actions first.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -77,16 +78,17 @@ def sessions(stream: DataFrame, seconds: int = SESSION_SECONDS) -> DataFrame:
             yield pd.DataFrame({"channel": [channel], "user_id": [user], "action": [action], "status": ["expired"]})
             return
         out = []
-        for batch in batches:
-            for action, text in zip(batch.action, batch.text):
-                if isinstance(action, str) and action:
-                    state.update((action,))
-                    out.append((action, "waiting"))
-                elif state.exists and isinstance(text, str) and text:
-                    out.append((state.get[0], "received"))
-                    state.remove()
-                else:
-                    out.append((None, "idle"))
+        rows = pd.concat(list(batches))
+        rows = rows.assign(after=rows.action.isna()).sort_values(["at", "after", "action", "text"])
+        for action, text in zip(rows.action, rows.text):
+            if isinstance(action, str) and action:
+                state.update((action,))
+                out.append((action, "waiting"))
+            elif state.exists and isinstance(text, str) and text:
+                out.append((state.get[0], "received"))
+                state.remove()
+            else:
+                out.append((None, "idle"))
         if state.exists:
             state.setTimeoutDuration(1000 * seconds)
         yield pd.DataFrame({"channel": channel, "user_id": user, "action": [a for a, _ in out], "status": [s for _, s in out]})

@@ -24,12 +24,18 @@ def one(spark, column):
         (X.corporate_domain, "mail.google.com", None),
         (X.corporate_domain, "not a domain", None),
         (X.company_name, "  Acme   Inc., ", "Acme Inc."),
-        (X.company_name, "12", None),
+        (X.company_name, "1", None),
+        (X.company_name, " -Acme Inc | Dallas", "Acme Inc"),
+        (X.company_name, "Acme, 1200 Main St", "Acme"),
+        (X.company_name, "Location: Dallas", None),
+        (X.company_name, "Fromage Inc", "Fromage Inc"),
+        (X.company_name, "Client", None),
         (X.url_host, "https://u@Sub.Example.com:80/x?y", "sub.example.com"),
         (X.clean_url, "https://a.com/x/?q=1#t", "https://a.com/x"),
         (X.clean_url, "ftp://a.com", None),
         (X.strip_html, "<p>a&amp;b</p><br/>c<i>d</i>", "a&b\n\nc d"),
         (X.strip_html, None, ""),
+        (X.strip_html, "it&rsquo;s &#8364;5 &#x41;<br>&nbsp;x&nbsp;", "it’s €5 A\n\u00a0x"),
         (X.split_list, "a, b;;c ", ["a", "b", "c"]),
         (X.addresses, "Ann <A@x.com>; b@y.org, a@x.com", ["a@x.com", "b@y.org"]),
         (X.base64url, "aMOpPz8_", "hé???"),

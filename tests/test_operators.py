@@ -54,6 +54,32 @@ def test_fuzzy_resolution_needs_a_margin(spark):
     assert dict(rows(taxonomy.resolve_fuzzy(terms, dictionary, "t").select("t", "canonical"), "t")) == {"postgressql": "PostgreSQL", "kubernetes": None, "javascriptt": "JavaScript", "go": None}
 
 
+def test_fuzzy_resolution_against_all_pairs(spark):
+    names = ["customer relationship management platform", "customer relations management platform", "abababababababababab", "senior software engineer", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "kubernetes", "postgresql", "machine learning engineer in test"]
+    terms = ["ustomer relationship management platfor", "xustomer relationship management platforx", "babababababababababa", "senior software enginee", "senior xsoftware engineer", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "kubernetes", "ubernetes", "machine learnin engineer in tests", "postgresq"]
+    from brookmill.functions.fuzzy import indel_ratio
+
+    wanted = {}
+    for t in terms:
+        scores = sorted(((indel_ratio(t, n), n) for n in names), reverse=True)
+        wanted[t] = scores[0][1] if scores[0][0] >= 94 and scores[0][0] - scores[1][0] >= 3 else None
+    dictionary = spark.createDataFrame([(n, n, "canonical") for n in names], "alias string, canonical string, kind string")
+    got = taxonomy.resolve_fuzzy(spark.createDataFrame([(t,) for t in terms], "t string"), dictionary, "t")
+    assert {r.t: r.canonical for r in got.collect()} == wanted and len(set(wanted.values())) > 4
+
+
+def test_found_terms_are_the_same_inline_and_joined(spark):
+    dictionary = spark.createDataFrame([("a b", "AB", "canonical"), ("b", "B", "canonical"), ("bb a b", "AB", "alias"), ("c++", "C++", "canonical"), ("a b c d", "long", "canonical")], "alias string, canonical string, kind string")
+    docs = spark.createDataFrame([(1, "A b, bb a-b c++"), (2, None), (3, ""), (4, "x bb a b bb a b"), (5, "b b b"), (6, "a b c d")], "id int, text string")
+    one, two = (rows(taxonomy.found_terms(docs, dictionary, "id", "text", 3, n), "id", "canonical") for n in (100, 0))
+    assert one == two and (4, "AB", "canonical", 3, 4) in one and not [r for r in one if r[1] == "long"]
+
+
+def test_first_seen_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, None, 3), (3, "b", 1)], "id int, h string, t int")
+    assert {r.id: r.duplicate_of for r in relational.first_seen(df, "h", ["t", "id"], "id").collect()} == {1: 2, 2: None, 3: None}
+
+
 def test_noise_reasons(spark):
     terms = ["C++", "mail me a@b.com", "5 years", "a (b", "one two three four five six", "knowledge of SQL"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(taxonomy.noise_reason(F.col("t"))).collect()]
@@ -82,7 +108,7 @@ def test_parser_ready(spark):
     assert got == {"ok": True, "low": False, "none": False, "warned": False, "kind": False, "null": False}
 
 
-@pytest.mark.parametrize(("text", "wanted"), [("Two consultants available now", "HOTLIST"), ("Developer is not yet available", "HOTLIST"), ("my resume", "RESUME"), ("hiring now", "JOB"), ("any update", "QUESTION"), ("", "UNKNOWN")])
+@pytest.mark.parametrize(("text", "wanted"), [("Two consultants available now", "HOTLIST"), ("Developer is not yet available", "HOTLIST"), ("my resume", "RESUME"), ("hiring now", "JOB"), ("any update", "QUESTION"), ("", "UNKNOWN"), ("engineer" + " " * 25 + "available", "HOTLIST"), ("engineer" + " " * 26 + "available", "UNKNOWN"), ("engineer, and" + "x" * 19 + " available", "HOTLIST"), ("engineer, and" + "x" * 20 + " available", "UNKNOWN")])
 def test_intent(spark, text, wanted):
     assert spark.range(1).select(extract.intent(F.lit(text))).first()[0] == wanted
 

@@ -77,9 +77,9 @@ def test_stream_effects_happen_once(spark, tmp_path):
 
 def test_sessions(spark, tmp_path):
     source = str(tmp_path / "in")
-    rows = [("c", "u", "post", None), ("c", "u", None, "text"), ("c", "v", None, "x")]
-    spark.createDataFrame(rows, "channel string, user_id string, action string, text string").coalesce(1).write.option("ignoreNullFields", False).json(source)
-    stream = intake.sessions(intake.read_json_stream(spark, source, "channel string, user_id string, action string, text string"))
+    rows = [("c", "u", None, "text", 2), ("c", "v", None, "x", 1), ("c", "u", "post", None, 1)]  # the answer is read before its action
+    spark.createDataFrame(rows, "channel string, user_id string, action string, text string, at long").coalesce(1).write.option("ignoreNullFields", False).json(source)
+    stream = intake.sessions(intake.read_json_stream(spark, source, "channel string, user_id string, action string, text string, at long"))
     query = stream.writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         for _ in range(60):
