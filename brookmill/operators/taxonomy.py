@@ -56,6 +56,31 @@ def found_terms(df: DataFrame, dictionary: DataFrame, id_column: str, text: str,
     return hits.groupBy(id_column, "canonical").agg(best, F.count("*").alias("hits")).select(id_column, "canonical", "best.kind", F.col("best.at").alias("first_at"), "hits")
 
 
+def alias_index(entries: DataFrame) -> DataFrame:
+    """key, canonical and kind of every name and alias of entries (canonical, aliases); a canonical name beats an alias, then the smallest wins."""
+    names = entries.select("canonical", F.lit("canonical").alias("kind"), taxonomy_key(F.col("canonical")).alias("key"))
+    aliases = entries.select("canonical", F.explode("aliases").alias("a")).select("canonical", F.lit("alias").alias("kind"), taxonomy_key(F.col("a")).alias("key"))
+    best = F.min(F.struct(F.when(F.col("kind") == "canonical", 0).otherwise(1).alias("o"), "canonical", "kind")).alias("b")
+    return names.union(aliases).where("key != ''").groupBy("key").agg(best).select("key", "b.canonical", "b.kind")
+
+
+def normalized(df: DataFrame, index: DataFrame, term: str) -> DataFrame:
+    """df with normalized (the canonical name, or the trimmed term), match_type and confidence. Spark picks the join by size."""
+    known = index.select(F.col("key").alias("_key"), F.col("canonical").alias("_canonical"), F.col("kind").alias("_kind"))
+    out = df.join(known, taxonomy_key(F.col(term)) == F.col("_key"), "left")
+    kind = F.coalesce("_kind", F.lit("unknown"))
+    sure = F.when(kind == "canonical", "high").when(kind == "alias", "medium").otherwise("low")
+    return out.withColumns({"normalized": F.coalesce("_canonical", F.trim(term)), "match_type": kind, "confidence": sure}).drop("_key", "_canonical", "_kind")
+
+
+def unknown_terms(df: DataFrame, index: DataFrame, term: str) -> DataFrame:
+    """Distinct terms that aren't noise and that no name or alias of the index spells, marks and spaces aside; the smallest spelling of each, how many there are."""
+    loose = index.select(identity_key(F.col("key")).alias("identity")).distinct()
+    found = df.select(F.col(term).alias("term")).where(F.col("term").isNotNull() & noise_reason(F.col("term")).isNull())
+    found = found.withColumn("identity", identity_key(F.col("term"))).where("identity != ''").groupBy("identity").agg(F.min("term").alias("term"), F.count("*").alias("n"))
+    return found.join(loose, "identity", "left_anti")
+
+
 def resolve_fuzzy(terms: DataFrame, dictionary: DataFrame, term: str, least: float = 94.0, margin: float = 3.0) -> DataFrame:
     """terms with canonical and score: the closest entry at least `least` alike and `margin` ahead of the next.
 

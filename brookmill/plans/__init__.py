@@ -1,3 +1,3 @@
-from . import registry, reports, rows, state, texts
+from . import listing, messages, registry, reports, rows, state, texts, workflow
 
-__all__ = ["registry", "reports", "rows", "state", "texts"]
+__all__ = ["listing", "messages", "registry", "reports", "rows", "state", "texts", "workflow"]

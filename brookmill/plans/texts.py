@@ -22,7 +22,7 @@ def term_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '</?(?:br|p|div|tr|li|h[1-6]|table)\b[^>]*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g') AS a FROM pages),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(a, '&copy;', '©'), '&rsquo;', '’'), '&mdash;', '—'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS a FROM t)
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(a, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS a FROM t)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS text FROM u""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.strip_html(F.col("html")).alias("text"))
