@@ -40,6 +40,8 @@ PIECE = 200_000
 MAX_BUCKET, BUCKET_ROWS, PAIRS = 2_000, 100_000, 1_000_000
 #: Bits of a text's sketch at most; bytes of sketches that are compared at once.
 MAX_SKETCH, SKETCH_BYTES = 8192, 16 << 20
+#: Texts to verify whose hashes (eight bytes each) may be broadcast; those of more are joined.
+BROADCAST_TEXTS = 2_000_000
 #: Shingles' frequencies are counted by so many leading bits of their hashes.
 RANGE_BITS = 18
 
@@ -341,7 +343,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     def verified(proposed: DataFrame) -> DataFrame:
         involved = proposed.select(F.explode(F.array("digest_a", "digest_b")).alias("_digest")).distinct()
-        whole = keyed.select("_digest", text.alias("text")).join(involved, "_digest", "left_semi").groupBy("_digest").agg(F.min("text").alias("text"))
+        whole = keyed.select("_digest", text.alias("text"))
+        if involved.count() <= BROADCAST_TEXTS:  # then the other texts stay where they are
+            whole = whole.join(F.broadcast(involved.select(F.xxhash64("_digest").alias("_h"))), F.xxhash64("_digest") == F.col("_h"), "left_semi")
+        else:
+            whole = whole.join(involved, "_digest", "left_semi")
+        whole = whole.groupBy("_digest").agg(F.min("text").alias("text"))
         pairs = proposed.join(whole.toDF("digest_a", "text_a"), "digest_a").join(whole.toDF("digest_b", "text_b"), "digest_b")
         return pairs.where(jaccard("text_a", "text_b") >= similarity).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
