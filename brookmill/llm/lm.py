@@ -8,9 +8,10 @@ bigram never seen is found with a probability of about one in 300. Whole segment
 together into blocks of `max_filter_bytes` at most, and a scorer holds one block at a time, so that
 every bigram stays in the filter at every size and memory stays bounded.
 
-Witten-Bell smoothing joins the estimate with the exact statistics of single tokens: with c
-occurrences of the context and t distinct followers, P(w|v) = (count(v,w) + t P(w)) / (c + t),
-and P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). A text's end is a token, and the context of the next
+Witten-Bell smoothing joins the estimate with the exact statistics of single tokens: with t
+distinct followers of a context and the sum s of their estimates, P(w|v) = (count(v,w) + t P(w)) /
+(s + t), and P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). So a context's probabilities sum to 1 over the
+vocabulary and the unknown, but for bigrams that the filter takes for seen by mistake. A text's end is a token, and the context of the next
 text's first token.
 
 Bigram counts are gathered without moving texts: every slice of text sends its distinct bigrams
@@ -76,6 +77,17 @@ def level_of(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(n.astype(float))[1], LEVELS)
 
 
+def middle_of(level: np.ndarray) -> np.ndarray:
+    """The estimate of a count at a level; 0 at level 0."""
+    return np.where(level > 0, (2.0 ** (level - 1) + 2.0**level - 1) / 2, 0.0)
+
+
+def chance(found: np.ndarray, mass: np.ndarray, followers: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """P(w|v) of the estimate found, the sum of estimates and the number of v's followers, and P(w) alone."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(followers > 0, (np.minimum(found, mass) + followers * alone) / (mass + followers), alone)
+
+
 class Filter(NamedTuple):
     data: np.ndarray
     #: First byte and number of bits of each bucket's segment.
@@ -97,7 +109,7 @@ class Filter(NamedTuple):
             live = hit
             if not len(live):
                 break
-        return np.where(level > 0, (2.0 ** (level - 1) + 2.0**level - 1) / 2, 0.0)
+        return middle_of(level)
 
 
 def places(key: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
@@ -123,7 +135,7 @@ def segment(key: np.ndarray, n: np.ndarray, bits: int) -> bytes:
 class Model(NamedTuple):
     #: Broadcast filters, each of some of the buckets.
     filters: list
-    #: Table of word (hash), n and followers.
+    #: Table of word (hash), n, followers and mass (the sum of its followers' estimates).
     words: DataFrame
     tokens: int
     distinct: int
@@ -164,12 +176,12 @@ def train(docs: DataFrame, training: Column | None = None, bits: int = BITS, max
         context, follower, n = context[first], follower[first], np.add.reduceat(n, first)
         data = segment(key_of(context, follower), n, bits)
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        return pd.DataFrame({"bucket": [group.bucket.iloc[0]], "segment": [data], "word": [context[first].astype(np.int64)], "n": [np.add.reduceat(n, first)], "followers": [np.diff(np.append(first, len(context)))]})
+        return pd.DataFrame({"bucket": [group.bucket.iloc[0]], "segment": [data], "word": [context[first].astype(np.int64)], "n": [np.add.reduceat(n, first)], "followers": [np.diff(np.append(first, len(context)))], "mass": [np.add.reduceat(middle_of(level_of(n)), first)]})
 
     path = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
-    packed.groupBy("bucket").applyInPandas(reduce, "bucket long, segment binary, word array<long>, n array<long>, followers array<long>").write.parquet(path)
+    packed.groupBy("bucket").applyInPandas(reduce, "bucket long, segment binary, word array<long>, n array<long>, followers array<long>, mass array<double>").write.parquet(path)
     held = spark.read.parquet(path)
-    words = held.select(F.explode(F.arrays_zip("word", "n", "followers")).alias("x")).groupBy(F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"), F.sum("x.followers").alias("followers"))
+    words = held.select(F.explode(F.arrays_zip("word", "n", "followers", "mass")).alias("x")).groupBy(F.col("x.word").alias("word")).agg(F.sum("x.n").alias("n"), F.sum("x.followers").alias("followers"), F.sum("x.mass").alias("mass"))
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     filters, block, size = [], [], 0
     for r in held.select("bucket", "segment").toLocalIterator():  # one part at a time
@@ -216,12 +228,12 @@ def score(docs: DataFrame, model: Model, chunk_chars: int = CHUNK_CHARS) -> Data
                 known, _, _ = hashed(piece.column("text").slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), number[a]), pa.int64()), pa.array(known.astype(np.int64))], ["chunk", "word"])
 
-    answers = dealt.mapInArrow(ask, "chunk long, word long").join(model.words, "word").select("chunk", "word", "n", "followers")
+    answers = dealt.mapInArrow(ask, "chunk long, word long").join(model.words, "word").select("chunk", "word", "n", "followers", "mass")
 
     def judge(texts: pd.DataFrame, stats: pd.DataFrame) -> pd.DataFrame:
         own = stats.word.to_numpy(dtype=np.int64).astype(np.uint64)
         order = np.argsort(own)
-        own, table = own[order], {c: stats[c].to_numpy(dtype=np.int64)[order] for c in ("n", "followers")}
+        own, table = own[order], {c: stats[c].to_numpy(dtype=kind)[order] for c, kind in (("n", np.int64), ("followers", np.int64), ("mass", np.float64))}
         ends, start, cuts = np.cumsum(texts.text.fillna("").str.len().to_numpy()), 0, []
         while start < len(texts):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE_CHARS, side="right")))
@@ -257,12 +269,9 @@ def score(docs: DataFrame, model: Model, chunk_chars: int = CHUNK_CHARS) -> Data
         known, at, starts, v, w, back = tokens_of(texts)
         place = np.minimum(np.searchsorted(own, known), max(len(own) - 1, 0))
         there = own[place] == known if len(own) else np.zeros(len(known), dtype=bool)
-        n, followers = (np.where(there, table[c][place], 0) if len(own) else np.zeros(len(known), dtype=np.int64) for c in ("n", "followers"))
+        n, followers, mass = (np.where(there, table[c][place], 0) if len(own) else np.zeros(len(known), dtype=np.int64) for c in ("n", "followers", "mass"))
         base = np.log10(n + 0.5) - total
-        found = np.minimum(count(known[v], known[w].astype(np.uint32)), n[v])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.where(n[v] > 0, (found + followers[v] * 10.0 ** base[w]) / (n[v] + followers[v]), 10.0 ** base[w])
-        logs = np.log10(np.minimum(p, 1.0))[back]
+        logs = np.log10(chance(count(known[v], known[w].astype(np.uint32)), mass[v], followers[v], 10.0 ** base[w]))[back]
         sums = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every text has its end token
         return pd.DataFrame({"doc_id": texts.doc_id, "n_tokens": np.diff(starts), "n_known": sums((n > 0)[at].astype(np.int64)), "train_tokens": tokens, "base_score": sums(base[at]), "score": sums(logs)})
 

@@ -223,6 +223,22 @@ def test_language_model_keeps_all_bigrams_past_the_bound(spark):
     assert scores[0][0] == 1 and scores[1][0] > 2 and np.allclose(scores[0][1], scores[1][1], rtol=0, atol=1e-9)
 
 
+def test_chances_of_a_context_sum_to_one():
+    random = np.random.default_rng(9)
+    vocabulary, n = random.integers(1, 2**63, 400, dtype=np.uint64), np.array([4] * 8 + [1, 2, 3, 900])
+    context = np.full(len(n), 77, dtype=np.uint64)
+    follower = vocabulary[: len(n)].astype(np.uint32)
+    data = np.frombuffer(lm.segment(lm.key_of(context, follower), n, lm.BITS), dtype=np.uint8)
+    f = lm.Filter(data, np.array([0]), np.array([len(data) * 8]))
+    found = f.count(np.full(400, 77, dtype=np.uint64), vocabulary.astype(np.uint32))
+    alone = random.random(400)
+    alone *= 0.99 / alone.sum()  # the rest is the unknown's
+    mass = lm.middle_of(lm.level_of(n)).sum()
+    total = lm.chance(found, mass, np.int64(len(n)), alone).sum() + lm.chance(0.0, mass, np.int64(len(n)), 0.01)
+    assert 1 - 1e-9 <= total <= 1 + (found[len(n) :].sum() + abs(found[: len(n)].sum() - mass)) / mass + 1e-9
+    assert (found[len(n) :] > 0).mean() < 0.02
+
+
 def test_filter_holds_what_it_was_given():
     context, follower = np.arange(1, 3001, dtype=np.uint64), np.arange(3000, dtype=np.uint32)
     n = np.arange(3000) % 9 + 1
