@@ -451,6 +451,50 @@ def test_pieces_without_dropout_are_the_librarys(text):
         assert pieces.decode_ids(ids, pieces.vocabulary(PIECES).spelled) == text
 
 
+def plain_agenda(unit: str, place_key: int, v, dropout: float, seed: int) -> list[int]:
+    """One candidate after the other: all pairs are looked at anew after each merger."""
+    import zlib
+
+    mix = lambda x: int(pieces.mix64(np.array([x % 2**64], dtype=np.uint64))[0])
+    key = mix(mix(zlib.crc32(unit.encode()) ^ place_key) ^ mix(seed))
+    known = dict(zip(v.pairs.tolist(), zip(v.rank.tolist(), v.merged.tolist())))
+    spans = [(i, i + 1, int(v.single[ord(c)])) for i, c in enumerate(unit)]
+    while True:
+        open_ = []
+        for k, ((a, b, x), (_, c, y)) in enumerate(zip(spans, spans[1:])):
+            if x >= 0 and y >= 0 and (x << 32 | y) in known and (not dropout or mix(key ^ mix(a << 40 | b << 20 | c)) >= int(dropout * 2.0**64)):
+                open_.append((known[x << 32 | y][0], a, k))
+        if not open_:
+            return [x for _, _, x in spans]
+        _, _, k = min(open_)
+        (a, _, x), (_, c, y) = spans[k : k + 2]
+        spans[k : k + 2] = [(a, c, known[x << 32 | y][1])]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_merging_follows_a_plain_agenda(dropout, monkeypatch):
+    random, v = np.random.default_rng(12), pieces.vocabulary(PIECES)
+    units = [" international", "aaaaaaaaaaaa", " the", "qzqzq", " misunderstandings", "x"] + ["".join(random.choice(list("aeinrst"), int(n))) for n in random.integers(1, 60, 40)]
+    keys = random.integers(0, 2**63, len(units), dtype=np.uint64)
+    wanted = [plain_agenda(u, int(k), v, dropout, 42) for u, k in zip(units, keys)]
+    for long in (10**6, 2):
+        monkeypatch.setattr(pieces, "LONG", long)
+        ids, bounds = pieces.merge(units, keys, v, dropout, 42)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == wanted
+
+
+def test_long_texts_are_cut_at_units_and_long_units_end(monkeypatch):
+    random = np.random.default_rng(13)
+    text = " ".join("".join(random.choice(list("abcdeé漢 \n▁"), 9)) for _ in range(900))
+    whole = pieces.encode_texts([text, "a b", text], ["1", "2", "3"], PIECES)
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 500)
+    cut = pieces.encode_texts([text, "a b", text], ["1", "2", "3"], PIECES)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    unit = "".join(random.choice(list("abcdefghij"), 40_000))
+    ids, _ = pieces.encode_texts([unit], ["1"], PIECES)
+    assert pieces.decode_ids(ids, pieces.vocabulary(PIECES).spelled) == unit
+
+
 def test_dropout_is_seeded():
     one = lambda key, seed: pieces.encode_texts([LONG[:3000]], [key], PIECES, seed=seed)[0].tolist()
     assert one("1", 1) == one("1", 1) and one("1", 1) != one("1", 2) and one("1", 1) != one("2", 1)
