@@ -42,6 +42,8 @@ from .common import mix64, shared_folder, slices, words_of
 BITS, HASHES, LEVELS = 12, 8, 48
 MAX_FILTER_BYTES = 256 << 20
 CHUNK_CHARS = 16_000_000
+#: Characters whose bigrams are counted at once; each takes about 25 bytes of arrays.
+GATHER_CHARS = 6_000_000
 #: Characters that are scored at once.
 PIECE_CHARS = 2_000_000
 #: The end of a text; no word's bytes are a space.
@@ -148,7 +150,7 @@ def train(docs: DataFrame, training: Column | None = None, bits: int = BITS, max
     buckets = max(1, -(-chars // chunk_chars))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, limit=chunk_chars):
+        for piece in slices(batches, limit=min(chunk_chars, GATHER_CHARS)):
             known, at, _ = hashed(piece.column("text"))
             context, follower = bigrams(at, len(known))
             pairs, n = np.unique(context * len(known) + follower, return_counts=True)
