@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -37,28 +38,26 @@ def whole_rows(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's spark.checkpoint.dir. Only where no folder is set at all, as
-    in tests, a temporary one is used.
+    Only in local mode, as in tests, a temporary one is made where none is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brookmill-"))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brookmill-"))
     return context.getCheckpointDir()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by files in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece holds about limit bytes of text, one row at least."""
     for batch in batches:

@@ -25,13 +25,13 @@ replaces one named leaks, and `drop_leaks`, which changes none.
 """
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +66,7 @@ def _parts(word: str) -> list[tuple[int, str, bool]]:
 
 
 def _hash(text: str) -> int:
-    data = text.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 class Tokens:

@@ -119,7 +119,8 @@ def profiles(docs: DataFrame, size: int = SIZE, text: str = "text", lang: str =
 
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("rank", rank - 1).where(f"rank < {size}").select("lang", "gram", "rank").toPandas().sort_values(["lang", "rank"])
+    kept = counts.withColumn("rank", rank).where(F.col("rank") <= size)  # so that tasks keep no more than these
+    return kept.select("lang", "gram", (F.col("rank") - 1).alias("rank")).toPandas().sort_values(["lang", "rank"])
 
 
 def identify(docs: DataFrame, model: pd.DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:

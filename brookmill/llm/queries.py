@@ -100,7 +100,7 @@ ruled AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.-])(spam|ads|pills|casino)([.-]|$)') THEN 'block'
+    WHEN regexp_matches(host, '(^|[.-])(spam|ads|pills|casino)([.-]|$)') OR regexp_matches(host || path, '(?i)(^|[^a-z0-9])(free[_/-]trial|buy[_/-]now|click[_/-]here)([^a-z0-9]|$)') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled""",
 }

@@ -57,7 +57,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
             zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * bias
             nb += g * g
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    return w, float(bias)
+    return w, float(-zb / ((beta + np.sqrt(nb)) / alpha))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS, bits: int = BITS) -> dict:

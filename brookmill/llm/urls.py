@@ -56,12 +56,15 @@ def pattern_rule(name: str, regex: str, *tokens: str) -> Rule:
     return Rule(name, "block", regex, tokens, 0)
 
 
-#: Hosts that carry advertisements or unsolicited goods in their names.
+#: Hosts and paths that carry advertisements or unsolicited goods in their names.
 PATTERNS = (
     pattern_rule("spam host", r"^(?:[^/]*[.-])?spam(?:[.-][^/]*)?(?:/|$)", "spam"),
     pattern_rule("ads host", r"^(?:[^/]*[.-])?ads(?:[.-][^/]*)?(?:/|$)", "ads"),
     pattern_rule("pills host", r"^(?:[^/]*[.-])?pills(?:[.-][^/]*)?(?:/|$)", "pills"),
     pattern_rule("casino host", r"^(?:[^/]*[.-])?casino(?:[.-][^/]*)?(?:/|$)", "casino"),
+    pattern_rule("free trial", r"(?i)(?:^|[^a-z0-9])free[_/-]trial(?:[^a-z0-9]|$)", "free", "trial"),
+    pattern_rule("buy now", r"(?i)(?:^|[^a-z0-9])buy[_/-]now(?:[^a-z0-9]|$)", "buy", "now"),
+    pattern_rule("click here", r"(?i)(?:^|[^a-z0-9])click[_/-]here(?:[^a-z0-9]|$)", "click", "here"),
 )
 
 

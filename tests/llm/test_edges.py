@@ -88,7 +88,7 @@ def test_nearest_over_shards_and_graph_degree(spark):
 
 
 def test_url_edges_and_joined_index(spark):
-    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.Example.ORG/es/x?q"), (5, "http://org#f"), (6, "x://notexample.org/es/"), (7, "http://a.b.com/de/" + "y" * 100_000), (8, "http://cheap-pills.net/"), (8, "http://cheap-pills.net/"), (9, "http://example.org?x/es/")]
+    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.Example.ORG/es/x?q"), (5, "http://org#f"), (6, "x://notexample.org/es/"), (7, "http://a.b.com/de/" + "y" * 100_000), (8, "http://cheap-pills.net/"), (8, "http://cheap-pills.net/"), (9, "http://example.org?x/es/"), (10, "http://b.net/Free-Trial/x"), (11, "http://b.net/free/x/trial")]
     df = spark.createDataFrame(rows, "page_id long, url string").select("*", *[F.lit("own").alias(c) for c in CLASHING])
     rules = [urls.prefix_rule(*r) for r in queries_rules()] + list(urls.PATTERNS)
     one = urls.judge_urls(df, rules)
@@ -99,6 +99,7 @@ def test_url_edges_and_joined_index(spark):
     assert got[1] == got[2] == got[3] == ("", "", None, "allow")
     assert got[4] == ("a.example.org", "/es/", "example.org/es/", "block") and got[5] == ("org", "", None, "allow")
     assert got[6][2] == "org/" and got[7][2:] == ("com/de/", "block") and got[8][2:] == (None, "block") and got[9][2:] == (None, "allow")
+    assert got[10][2:] == (None, "block") and got[11][2:] == (None, "allow")
     assert one.count() == len(rows) and urls.judge_urls(df.limit(0), rules).count() == 0
 
 
