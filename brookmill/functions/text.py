@@ -1,6 +1,7 @@
 """Text as Column expressions: keys, addresses, urls, labels, hashes. Nulls stay null unless said."""
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ NO_COMPANY_NAMES = ("unknown", "confidential", "client", "company", "n/a", "na")
 BLOCK_TAG = r"(?i)</?(?:br|p|div|tr|li|h[1-6]|table)\b[^>]*>"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for each row, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def squeezed(x: Column) -> Column:
     """Lower case, white space of any length as one space."""
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))

@@ -9,7 +9,7 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brookmill.functions.text import url_host, words_in
+from brookmill.functions.text import once, url_host, words_in
 
 # Vocabularies of the message classifiers.
 JOB_WORDS = ("need", "hiring", "looking for", "requirement", "position", "contract", "full-time", "full time", "location", "job", "opening", "urgent requirement", "client requirement")
@@ -40,7 +40,7 @@ def first_rule(x: Column, rules: tuple[tuple[str, str], ...]) -> Column:
 def text_quality(x: Column) -> Column:
     """Struct of reasons, confidence and needs_fallback."""
     text = F.trim(F.coalesce(x, F.lit("")))
-    short, few, bare = F.length(text) < 40, F.size(words_in(text)) < 5, ~text.rlike(r"\p{L}")
+    short, few, bare = F.length(text) < 40, ~text.rlike(r"^\s*(?:\S+\s+){4}\S"), ~text.rlike(r"\p{L}")
     reasons = F.array_compact(F.array(F.when(short, F.lit("text_too_short")), F.when(few, F.lit("too_few_words")), F.when(bare, F.lit("no_alpha_text")), F.when(F.length(text) < 20, F.lit("language_unknown"))))
     confidence = F.when(short | bare, F.lit(0.35)).when(F.size(reasons) > 0, F.lit(0.55)).otherwise(F.lit(0.9))
     return F.struct(reasons.alias("reasons"), confidence.alias("confidence"), (confidence < 0.7).alias("needs_fallback"))
@@ -48,7 +48,10 @@ def text_quality(x: Column) -> Column:
 
 def intent(x: Column) -> Column:
     """HOTLIST, RESUME, JOB, QUESTION or UNKNOWN, by the first vocabulary that the text holds a word of."""
-    low = F.lower(F.coalesce(x, F.lit("")))
+    return once(F.lower(F.coalesce(x, F.lit(""))), _intent)
+
+
+def _intent(low: Column) -> Column:
     available = low.rlike(r"(^|[^a-z0-9_])(developer|engineer|consultant|candidate|resources?|profiles?)([^a-z0-9_.][^.]{0,23}|)[^a-z0-9_.]available([^a-z0-9_]|$)")
     return F.when(_any(low, HOTLIST_WORDS) | available, "HOTLIST").when(_any(low, RESUME_WORDS), "RESUME").when(_any(low, JOB_WORDS), "JOB").when(_any(low, QUESTION_WORDS), "QUESTION").otherwise("UNKNOWN")
 
@@ -59,17 +62,20 @@ def intent_confidence(kind: Column) -> Column:
 
 def spam_reasons(x: Column, kind: Column, confidence: Column) -> Column:
     """Reasons to flag a message; empty if there are none. A nearly empty one has no other reason."""
-    text = F.trim(F.coalesce(x, F.lit("")))
-    low = F.lower(text)
-    hits = functools.reduce(operator.add, [low.contains(m).cast("int") for m in MARKETING_MARKERS])
     weak = kind.isin("unknown", "plain_message") & (confidence < 0.35)
-    marketing = (hits >= 2) & ~_bounded(text, "|".join(JOB_MARKERS))
-    others = F.array_compact(F.array(F.when(weak, F.lit("no_hotlist_or_requirement_signal")), F.when(marketing, F.lit("marketing_footer_markers_without_job_content"))))
-    return F.when(F.length(text) < 25, F.array(F.lit("empty_or_near_empty_content"))).otherwise(others)
+
+    def of(low: Column) -> Column:
+        hits = functools.reduce(operator.add, [low.contains(m).cast("int") for m in MARKETING_MARKERS])
+        marketing = (hits >= 2) & ~low.rlike(f"(^|[^a-z0-9_])(?:{'|'.join(JOB_MARKERS)})([^a-z0-9_]|$)")
+        others = F.array_compact(F.array(F.when(weak, F.lit("no_hotlist_or_requirement_signal")), F.when(marketing, F.lit("marketing_footer_markers_without_job_content"))))
+        return F.when(F.length(low) < 25, F.array(F.lit("empty_or_near_empty_content"))).otherwise(others)
+
+    return once(F.lower(F.trim(F.coalesce(x, F.lit("")))), of)
 
 
 def email(x: Column) -> Column:
-    return F.nullif(F.regexp_extract(x, EMAIL, 0), F.lit(""))
+    # a match starts where its characters start, and gives none of them back
+    return F.nullif(F.regexp_extract(x, "(?<![A-Za-z0-9._%+-])" + EMAIL.replace("+@", "++@"), 0), F.lit(""))
 
 
 def phone(x: Column) -> Column:

@@ -80,6 +80,19 @@ def test_first_seen_keeps_null_keys(spark):
     assert {r.id: r.duplicate_of for r in relational.first_seen(df, "h", ["t", "id"], "id").collect()} == {1: 2, 2: None, 3: None}
 
 
+def test_partial_ratio(spark):
+    from brookmill.functions.fuzzy import partial_ratio
+
+    rows_ = [("java", "senior java developer"), ("abcd", "xxabyy"), ("", ""), ("", "a"), (None, "a"), ("same", "same"), ("jav", "va")]
+    got = [r[0] for r in spark.createDataFrame(rows_, "a string, b string").coalesce(1).select(partial_ratio("a", "b")).collect()]
+    assert got == [100.0, 50.0, 100.0, 0.0, None, 100.0, 100.0]
+
+
+@pytest.mark.parametrize(("text", "wanted"), [("write to ann.b+c@mail.example.org.", "ann.b+c@mail.example.org"), ("a@b and c@d.io", "c@d.io"), ("@x.io", None), ("x" * 5000 + " é@b.co", None), ("..a@b.co", "..a@b.co")])
+def test_email(spark, text, wanted):
+    assert spark.range(1).select(extract.email(F.lit(text))).first()[0] == wanted
+
+
 def test_noise_reasons(spark):
     terms = ["C++", "mail me a@b.com", "5 years", "a (b", "one two three four five six", "knowledge of SQL"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(taxonomy.noise_reason(F.col("t"))).collect()]
