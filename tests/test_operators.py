@@ -85,7 +85,7 @@ def test_partial_ratio(spark):
 
     rows_ = [("java", "senior java developer"), ("abcd", "xxabyy"), ("", ""), ("", "a"), (None, "a"), ("same", "same"), ("jav", "va")]
     got = [r[0] for r in spark.createDataFrame(rows_, "a string, b string").coalesce(1).select(partial_ratio("a", "b")).collect()]
-    assert got == [100.0, 50.0, 100.0, 0.0, None, 100.0, 100.0]
+    assert got == [100.0, 50.0, 100.0, 0.0, None, 100.0, pytest.approx(200 / 3)]
 
 
 @pytest.mark.parametrize(("text", "wanted"), [("write to ann.b+c@mail.example.org.", "ann.b+c@mail.example.org"), ("a@b and c@d.io", "c@d.io"), ("@x.io", None), ("x" * 5000 + " é@b.co", None), ("..a@b.co", "..a@b.co")])
