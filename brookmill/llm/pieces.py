@@ -56,6 +56,8 @@ class Vocabulary(NamedTuple):
     pairs: np.ndarray
     merged: np.ndarray
     rank: np.ndarray
+    #: The same by pair: rank and merged id.
+    known: dict[int, tuple[int, int]]
 
 
 @functools.cache
@@ -82,7 +84,9 @@ def vocabulary(path: str) -> Vocabulary:
     rows = [(ids[p[:k]] << 32 | ids[p[k:]], i, model.get_score(i)) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
     rows.sort()
     scores = np.array([-s for _, _, s in rows])
-    return Vocabulary(spelled, single, of_byte, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.unique(scores, return_inverse=True)[1])
+    rank = np.unique(scores, return_inverse=True)[1]
+    known = dict(zip([r[0] for r in rows], zip(rank.tolist(), [r[1] for r in rows])))
+    return Vocabulary(spelled, single, of_byte, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), rank, known)
 
 
 def _candidates(symbol: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, other: np.ndarray, key: np.ndarray, v: Vocabulary, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +103,15 @@ def _candidates(symbol: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.
     return at, place
 
 
+def _mix(x: int) -> int:
+    """mix64 of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
 def merge_long(symbol: np.ndarray, key: np.uint64, v: Vocabulary, limit: np.uint64) -> np.ndarray:
     """Symbols of one unit after its agenda: the best candidate first, the leftmost of equals, by a heap."""
     n = len(symbol)
@@ -107,13 +120,12 @@ def merge_long(symbol: np.ndarray, key: np.uint64, v: Vocabulary, limit: np.uint
     agenda = list(zip(v.rank[place].tolist(), at.tolist(), (at + 1).tolist(), (at + 2).tolist(), v.merged[place].tolist()))
     heapq.heapify(agenda)
     own, end, before = symbol.tolist(), list(range(1, n + 1)), list(range(-1, n))
-    one = lambda x: np.array([x], dtype=np.int64)
+    of_unit, least = int(key), int(limit)
 
     def offer(start: int, mid: int) -> None:
-        if own[start] >= 0 and own[mid] >= 0:
-            found, place = _candidates(one(own[start]), one(start), one(mid), one(end[mid]), one(own[mid]), np.array([key]), v, limit)
-            if len(found):
-                heapq.heappush(agenda, (int(v.rank[place[0]]), start, mid, end[mid], int(v.merged[place[0]])))
+        found = v.known.get(own[start] << 32 | own[mid]) if own[start] >= 0 and own[mid] >= 0 else None
+        if found and (not least or _mix(of_unit ^ _mix((start << 40 | mid << 20 | end[mid]) % 2**64)) >= least):
+            heapq.heappush(agenda, (found[0], start, mid, end[mid], found[1]))
 
     while agenda:
         _, start, mid, stop, into = heapq.heappop(agenda)
