@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from . import vamana
 
 SHARD_ROWS, BLOCK_ROWS, QUERY_BEAM, TASKS = 5_000, 4_096, 96, 2_000
+#: Pairs of a query and a vector that are rescored at once.
+PAIRS = 50_000
 #: What single precision may be wrong by in a distance 1 - cosine.
 ROUNDING = 4e-6
 
@@ -87,7 +89,9 @@ class Shard(NamedTuple):
             keep = ~np.isin(row, part)
             row, node = np.append(row[keep], part[r]), np.append(node[keep], n)
         row, vector = _spread(row, self.of_node[node], self.of_node[node + 1])
-        score = _cosines(query[row], self.vectors[vector])
+        score = np.empty(len(row))
+        for a in range(0, len(row), PAIRS):
+            score[a : a + PAIRS] = _cosines(query[row[a : a + PAIRS]], self.vectors[vector[a : a + PAIRS]])
         first = self.of_vector[vector]
         many = np.minimum(self.of_vector[vector + 1], first + k + 1)  # further copies of a vector have larger ids, and come after these
         score, (row, at) = np.repeat(score, many - first), _spread(row, first, many)
