@@ -8,7 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Providers whose domain says nothing about a company.
-SHARED_DOMAINS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "googlegroups.com", "groups.google.com", "google.com", "linkedin.com", "indeed.com", "dice.com", "yahoogroups.com")
+SHARED_DOMAINS = (
+    "gmail.com", "yahoo.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "aol.com", "icloud.com", "me.com", "protonmail.com", "gmx.com", "ymail.com", "rediffmail.com",
+    "groups.google.com", "googlegroups.com", "google.com", "nvoids.com", "jobs.nvoids.com", "prohirespowerhouse.com", "techmail001.email", "linkedin.com", "indeed.com", "dice.com", "yahoogroups.com",
+)
 # Lines and names that are no company's.
 NO_COMPANY_STARTS = "keywords?|subject|from|to|location|job title|required skills|disclaimer|confidentiality|please|dear|hello|regards|thanks"
 NO_COMPANY_PARTS = "unsubscribe|years of experience|we are looking|click here|all rights reserved"

@@ -13,8 +13,17 @@ from brookmill.functions.text import header_key, name_parts, split_list
 from . import extract
 
 # Names of table columns and of resume sections.
-HEADERS = {"name": "name", "candidate": "name", "consultant": "name", "consultant name": "name", "skill": "title", "skills": "title", "technology": "title", "title": "title", "role": "title", "experience": "experience", "exp": "experience", "years": "experience", "location": "location", "current location": "location", "visa": "visa", "visa status": "visa", "work authorization": "visa", "rate": "rate", "availability": "availability"}
-FIELDS = ("name", "title", "experience", "location", "visa", "rate", "availability")
+HEADERS = {
+    "name": "name", "candidate": "name", "candidate name": "name", "consultant": "name", "consultant name": "name", "resource": "name", "resource name": "name",
+    "title": "title", "job title": "title", "role": "title", "technology": "title", "skill": "title", "skills": "title", "primary skill": "title", "primary skills": "title",
+    "experience": "experience", "exp": "experience", "years": "experience", "total experience": "experience",
+    "location": "location", "current location": "location",
+    "visa": "visa", "visa status": "visa", "work authorization": "visa", "work auth": "visa",
+    "availability": "availability", "available": "availability", "available from": "availability",
+    "rate": "rate", "bill rate": "rate", "expected rate": "rate",
+    "email": "email", "candidate email": "email", "phone": "phone", "mobile": "phone",
+}
+FIELDS = ("name", "title", "experience", "location", "visa", "rate", "availability", "email", "phone")
 SECTIONS = {"summary": "summary|profile|objective", "experience": "experience|work experience|employment history|professional experience", "education": "education|academics?", "skills": "skills|technical skills|technologies", "certifications": "certifications?|licenses?"}
 SIGN_OFFS = "regards|best regards|kind regards|warm regards|thanks|thank you|thanks and regards|thanks & regards|sincerely|best"
 QUOTES = r"(?im)^(?:-+ ?original message ?-+|from:[ \t]|on .{5,80} wrote:|>)"

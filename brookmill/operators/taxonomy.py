@@ -133,17 +133,30 @@ def first_rule_wins(df: DataFrame, rules: DataFrame, key: str, id_column: str) -
     return df.join(hits, id_column, "left")
 
 
+# Shapes and words that no skill's name has, in the order in which they are tried.
+NOISE_SHAPES = {
+    "address": r"@|http|\b[a-z0-9-]+\.(?:com|net|org|io)\b",
+    "line_break": r"[\n\r]",
+    "bullet": "^[•●▪⦁]",
+    "non_breaking_space": "\u00a0",
+    "number": r"^(?:\d+(?:\.\d+)?x?|\d+\+?\s*(?:y|yr|yrs|years?))$",
+    "state_and_zip": r"\b[a-z]{2}\s+\d{5}(?:-\d{4})?\b",
+    "sentence_start": r"^(?:(?:working )?knowledge of|experience (?:applying|with|in)|bachelor(?:'s|’s)? degree|company locations?|looking for|be able to|day to day job duties)\b|^industries?\s*:",
+    "table_row": r"^\d{1,3}\s+[a-z]{1,4}\s+.+\d+\+?y\s+(?:remote|onsite|hybrid)\b",
+    "verb_start": r"^(?:drive|validate|review|build|create|ensure|develop|manage|improve|support|provide|maintain|coordinate|design|implement|conduct|perform|monitor|assist|lead|work|collaborate|deliver|analyze|analyse|troubleshoot|configure|deploy|write|document|partner|engage|own|define|establish|execute|oversee|install|validated?|tracks?|documents?|follows?|managing|evaluate|remain)\b",
+}
+LEADING_WORDS = ("and", "or", "if", "with", "including", "particularly", "prior", "strong", "high", "good", "great", "excellent", "solid", "proven", "please", "must", "should", "will", "can", "may", "need", "needs", "ability", "sense", "the", "a", "an", "this", "that", "not", "no", "you", "your", "we", "our", "conduct", "coordinate", "create", "review", "build", "ensure", "develop", "manage", "improve", "support", "provide", "maintain", "design", "implement", "perform", "monitor", "assist", "lead", "work", "collaborate", "drive", "validate", "works", "leads", "helps", "help", "based")
+TRAILING_WORDS = ("and", "or", "if", "with", "the", "a", "an", "is", "are", "not", "of", "to", "for", "in", "on", "at", "by")
+FILLER_WORDS = ("and", "or", "if", "is", "are", "was", "were", "not", "with", "the", "a", "an", "particularly", "including", "include", "prior", "strong", "high", "sense", "of", "ability", "to", "for", "as", "in", "on", "at", "by", "this", "that", "these", "those", "please", "must", "should", "will", "can", "may", "need", "needs", "needed", "have", "has", "had", "experience", "requires", "required", "preferred", "good", "great", "excellent", "solid", "proven", "demonstrated", "years", "year", "prefer", "presence", "present", "highly", "very", "also", "etc", "such", "like")
+
+
 def noise_reason(term: Column) -> Column:
-    """Why a term can't be a skill's name; null if it may be."""
-    words = F.size(F.filter(F.split(term, r"[^A-Za-z0-9+#.'-]+"), lambda w: w != ""))
-    shapes = (
-        ("address", r"@|http|\b[a-z0-9-]+\.(?:com|net|org|io)\b"),
-        ("line_break", r"[\n\r]"),
-        ("bullet", "^[•●▪⦁]"),
-        ("non_breaking_space", " "),
-        ("number", r"^(?:\d+(?:\.\d+)?x?|\d+\+?\s*(?:y|yr|yrs|years?))$"),
-        ("sentence_start", r"^(?:(?:working )?knowledge of|experience (?:applying|with|in)|bachelor(?:'s)? degree|looking for|be able to)\b"),
-    )
-    found = [F.when(F.lower(term).rlike(pattern), F.lit(name)) for name, pattern in shapes]
+    """Why a term can't be a skill's name; null if it may be. Names of persons aren't told."""
+    words = F.filter(F.split(F.lower(term), r"[^a-z0-9+#.'-]+"), lambda w: w.rlike("^[a-z]"))
+    found = [F.when(F.lower(term).rlike(pattern), F.lit(name)) for name, pattern in NOISE_SHAPES.items()]
     unbalanced = F.length(F.regexp_replace(term, "[^(]", "")) != F.length(F.regexp_replace(term, "[^)]", ""))
-    return F.coalesce(*found, F.when(unbalanced, F.lit("parentheses")), F.when((words == 0) | (words > 5), F.lit("word_count")))
+    edge = F.get(words, F.lit(0)).isin(*LEADING_WORDS) | F.get(words, F.size(words) - 1).isin(*TRAILING_WORDS)
+    fillers = F.size(F.filter(words, lambda w: w.isin(*FILLER_WORDS)))
+    filled = (fillers >= 2) | ((fillers >= 1) & (F.size(words) <= 3))
+    counted = F.when((F.size(words) == 0) | (F.size(words) > 5), F.lit("word_count"))
+    return F.coalesce(*found, F.when(unbalanced, F.lit("parentheses")), counted, F.when(edge, F.lit("edge_word")), F.when(filled, F.lit("filler_words")))

@@ -94,9 +94,9 @@ def test_email(spark, text, wanted):
 
 
 def test_noise_reasons(spark):
-    terms = ["C++", "mail me a@b.com", "5 years", "a (b", "one two three four five six", "knowledge of SQL"]
+    terms = ["C++", "mail me a@b.com", "5 years", "a (b", "one two three four five six", "knowledge of SQL", "Drive alignment", "Kafka and", "very high scale", "Apache Spark", "22 VD DATA 4+Y ONSITE", "Austin TX 78701", "1"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(taxonomy.noise_reason(F.col("t"))).collect()]
-    assert got == [None, "address", "number", "parentheses", "word_count", "sentence_start"]
+    assert got == [None, "address", "number", "parentheses", "word_count", "sentence_start", "verb_start", "edge_word", "filler_words", None, "table_row", "state_and_zip", "number"]
 
 
 def test_match_score_edges(spark):
