@@ -42,6 +42,8 @@ MAX_BUCKET, BUCKET_ROWS, PAIRS = 2_000, 100_000, 1_000_000
 MAX_SKETCH, SKETCH_BYTES = 8192, 16 << 20
 #: Texts to verify whose hashes (eight bytes each) may be broadcast; those of more are joined.
 BROADCAST_TEXTS = 2_000_000
+#: Keys of dropped and repeated rows (two hashes each) that may be broadcast; those of more are joined.
+BROADCAST_KEYS = 1_000_000
 #: Shingles' frequencies are counted by so many leading bits of their hashes.
 RANGE_BITS = 18
 
@@ -303,7 +305,7 @@ def _sharing(rows: DataFrame, similarity: float, limit: int) -> DataFrame:
     return dealt.repartition("sig").sortWithinPartitions("sig", "comp").mapInArrow(_Buckets(similarity), "id long, other long").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, propose_words: int = 2, bits: int = 256, radius: int = 52, max_shard: int = MAX_SHARD, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, propose_words: int = 2, bits: int = 256, radius: int = 52, max_shard: int = MAX_SHARD, max_bucket: int = MAX_BUCKET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group of near copies.
 
     Two texts are near copies if the Jaccard similarity of their sets of `words`-word shingles is
@@ -362,4 +364,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     named = texts.join(group, texts._digest == group.node, "left").select("_digest", "lowest", F.coalesce("component", "_digest").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct(F.col("lowest").isNull().alias("no_id"), "lowest", "_digest")).alias("first"))
     kept = first.select(F.concat_ws(":", F.coalesce(F.col("first.lowest").cast("string"), F.lit("")), "first._digest").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")
+    return _of_keys(keyed, kept, broadcast_keys).select("row.*")
+
+
+def _of_keys(keyed: DataFrame, kept: DataFrame, most: int) -> DataFrame:
+    """One row of keyed for each key that is kept.
+
+    Keys that are dropped or repeated are few beside all rows: up to `most` of them are broadcast, and
+    all other rows stay where they are.
+    """
+    keys = keyed.groupBy("_key").agg(F.count("*").alias("n")).join(kept.select("_key", F.lit(True).alias("_kept")), "_key", "left")
+    special = saved(keys.where("_kept is null or n > 1").select("_key", F.coalesce("_kept", F.lit(False)).alias("_kept")))
+    if special.count() > most:
+        return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    one, two = F.xxhash64("_key"), F.xxhash64("_key", F.lit("two"))
+    rows = keyed.select("row", "_key", one.alias("_one"), two.alias("_two")).join(F.broadcast(special.select(one.alias("_one"), two.alias("_two"), "_kept")), ["_one", "_two"], "left")
+    return rows.where("_kept is null").select("row").union(rows.where("_kept").dropDuplicates(["_key"]).select("row"))

@@ -356,6 +356,8 @@ def test_near_duplicates_against_all_pairs(spark):
     sets = {i: brute.shingles(t) for i, t in texts.items()}
     wanted = brute.groups(sorted(sets), lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(wanted.values()))
+    joined = simhash.drop_near_duplicates(df, broadcast_keys=0)
+    assert sorted(r.doc_id for r in joined.collect()) == sorted(set(wanted.values()))
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
