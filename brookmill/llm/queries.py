@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, langid, lm, pieces, quality, simhash, tokenfiles, toxicity, urls
+from . import alignment, ann, decontamination, langid, lm, packing, pieces, quality, simhash, tokenfiles, toxicity, urls, variants
 from .common import fold, shared_folder, table
 
 
@@ -72,7 +72,38 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filter, op3_toxicity, op4_language_id, op5_decontamination, op6_quality, op7_language_model, op8_token_files, op9_simhash, op10_pieces)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.spelling_variants(variants.count_words(docs, slips_every=199))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), path_a, path_b)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbours,
+        op2_url_filter,
+        op3_toxicity,
+        op4_language_id,
+        op5_decontamination,
+        op6_quality,
+        op7_language_model,
+        op8_token_files,
+        op9_simhash,
+        op10_pieces,
+        op11_spelling_variants,
+        op12_alignment,
+        op13_packing,
+    )
+}
 
 _PLACED = r"""
     SELECT page_id,
