@@ -1,10 +1,15 @@
 """Cross-tokenizer alignment: which ids of one tokenizer cover the same bytes as which of another.
 
-Python only tokenises: ids, and the byte offset where each token ends. The rest is higher-order
-functions. Offsets where both end (array_intersect) cut the tokens into groups. To link tokens, the
-ends of both are sorted together, each with its own index; at place p of that order, the other side's
-index is p less the own one, so each end knows the two tokens that it closes or cuts, without a search.
-Two tokens overlap on one stretch of bytes, which ends at one of these places, so every link is met once.
+Python only tokenises. A text with a space in front is cut before each space that follows
+something that isn't white space; there no token of either side goes on, so equal units have equal
+tokens wherever they stand, and a slice of documents is sent as its distinct units (ids, the offset
+of each token's last byte, and which token holds each byte) and each document's list of units.
+
+The rest is higher-order functions. Within a unit, offsets where both sides end (array_intersect)
+cut its tokens into groups. Two tokens overlap on one stretch of bytes, which ends where one of them
+does, so each offset where either side ends (array_union) stands for one link: that of the tokens
+which hold this byte. Where both sides end at the same places, which most units do, tokens are
+linked one to one. A document's links and groups are those of its units in a row.
 
 How many documents hold a pair of ids is counted over the corpus. Counts come back to links by a
 broadcast of the commonest pairs (at most `most_pairs`, chosen by how many pairs there are of each
@@ -12,17 +17,19 @@ magnitude); links of rarer pairs, of which no one is frequent, join by a shuffle
 
 Nulls and edges: texts that are null or empty, or whose bytes the tokens of either side don't spell,
 have no tokens, zeros and ''. A null doc_id stays null; each of repeated rows is a document of its
-own; an empty table gives no rows; other columns are left out. A text is worked on whole, in about
-200 bytes of memory a token.
+own; an empty table gives no rows; other columns are left out. A very long text is a slice of its
+own, worked on whole in about 100 bytes of memory a token.
 """
 
 import functools
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +39,7 @@ from ..functions.text import once
 from .common import saved, shared_folder, slices
 
 #: Bytes of text that a task tokenises at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Pairs of ids (17 bytes each) whose counts may be broadcast.
 BROADCAST_PAIRS = 1_000_000
 
@@ -75,80 +82,90 @@ def byte_level(path: str):
 
 @functools.cache
 def pieces(path: str):
-    """Encoder of texts by a SentencePiece model, which puts a space in front, and the bytes of each id."""
+    """Encoder of lists of texts by a SentencePiece model, which puts a space in front (of an empty text, too), and the bytes of each id."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     text = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     spelled = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(text)]
-    return lambda t: model.encode(t, num_threads=1), spelled
-
-
-def tokenised(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """docs without the text, but with a_ids, a_ends, b_ids, b_ends: ids, and the byte offsets in space+text where they end."""
-    made = ["a_ids", "a_ends", "b_ids", "b_ends"]
-    docs = docs.drop(*made)
-    kept = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*kept, *[T.StructField(c, T.ArrayType(T.IntegerType(), False)) for c in made]])
-
-    def column(ids: list[list[int]], sizes: np.ndarray) -> list[pa.Array]:
-        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        bounds = np.append(0, np.cumsum(n))
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(bounds[-1]))
-        ends = np.append(0, np.cumsum(sizes[flat]))
-        ends = ends[1:] - np.repeat(ends[bounds[:-1]], n)
-        return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (flat, ends)]
+    space = [model.piece_to_id("▁")]
+    return lambda texts: [ids if t else space for t, ids in zip(texts, model.encode(texts, num_threads=1))], spelled
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (encode_a, bytes_a), (encode_b, bytes_b) = byte_level(path_a), pieces(path_b)
-        sizes_a, sizes_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (bytes_a, bytes_b))
-        for piece in slices(batches, text, SLICE_BYTES):
-            a, b = [], []
-            for t in piece.column(text).to_pylist():
-                own, other = (encode_a(" " + t), encode_b(t)) if t else ([], [])
-                if t:
-                    raw = (" " + t).encode()
-                    if b"".join([bytes_a[i] for i in own]) != raw or b"".join([bytes_b[i] for i in other]) != raw:
-                        own, other = [], []
-                a.append(own)
-                b.append(other)
-            yield pa.RecordBatch.from_arrays([*[piece.column(f.name) for f in kept], *column(a, sizes_a), *column(b, sizes_b)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+#: A space after something that isn't white space.
+_BORDER = re.compile(r"(?<=\S) ")
+_NOT_AFTER_WORD = re.compile(r"\s ")
 
 
-def _places(ends: Column, side: int) -> Column:
-    """Of each end: the offset, the side, and the token's index, in one long that sorts by them in this order."""
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + F.lit(side << 31) + i)
+def _units(text: str, cuts: bool) -> list[str]:
+    """The units of space+text, each without its first space."""
+    if not cuts:
+        return [text]
+    return _BORDER.split(text) if text[0] == " " or _NOT_AFTER_WORD.search(text) else text.split(" ")
 
 
-def _met(places: Column, a_ids: Column, b_ids: Column) -> Column:
-    """At each place in order: the link that ends there, as id of A * 2**32 + id of B; where both sides end, the second
-    place stands for the cut instead: minus one, minus how many tokens of A * 2**32 + of B lie before it."""
-    pair = lambda i, j: F.shiftleft(F.get(a_ids, i).cast("long"), 32) + F.get(b_ids, j)
+def _lists(values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All values in a row, and where each list's start (and the end of the last)."""
+    bounds = np.append(0, np.cumsum(np.fromiter(map(len, values), dtype=np.int64, count=len(values))))
+    return np.fromiter(chain.from_iterable(values), dtype=np.int32, count=int(bounds[-1])), bounds
 
-    def at(place: Column, p: Column) -> Column:
-        index = place.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-        other = p - index
-        of_a = place.bitwiseAND(F.lit(1 << 31)) == 0
-        tied = F.shiftright(F.get(places, p - 1), 32) == F.shiftright(place, 32)
-        return F.when(of_a, pair(index, other)).when(tied, -F.shiftleft(other.cast("long"), 32) - index - 2).otherwise(pair(other, index))
 
-    return F.transform(places, at)
+def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """A row for each slice of docs (doc_id, text), with units, an array of its distinct units (of both sides: ids,
+    the offset where each token ends, and the index of the token that holds each byte; the first byte is 0), and
+    docs, an array of (doc_id, n_a, n_b, units: indexes of units in order)."""
+    ints, longs = (T.ArrayType(x, False) for x in (T.IntegerType(), T.LongType()))
+    of_unit = T.StructType([T.StructField(f"{side}_{c}", x, False) for side in "ab" for c, x in (("ids", longs), ("ends", ints), ("at", ints))])
+    of_doc = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_a", T.LongType(), False), T.StructField("n_b", T.LongType(), False), T.StructField("units", ints, False)])
+    schema = T.StructType([T.StructField("units", T.ArrayType(of_unit, False), False), T.StructField("docs", T.ArrayType(of_doc, False), False)])
 
+    def tokens(ids: list[list[int]], sizes: np.ndarray) -> list[pa.Array]:
+        flat, bounds = _lists(ids)
+        n = sizes[flat]
+        ends = np.append(0, np.cumsum(n))
+        begin = ends[bounds]
+        index = np.arange(len(flat)) - np.repeat(bounds[:-1], np.diff(bounds))
+        lists = ((bounds, flat, pa.int64()), (bounds, ends[1:] - 1 - np.repeat(begin[:-1], np.diff(bounds)), pa.int32()), (begin, np.repeat(index, n), pa.int32()))
+        return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, kind)) for at, x, kind in lists]
 
-def _groups(cuts: Column, a_ids: Column, b_ids: Column) -> Column:
-    """The groups between cuts as `a1,a2|b1;a3|b2,b3`. cuts: tokens of A * 2**32 + of B up to each cut."""
-    low = F.lit((1 << 32) - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (encode_a, bytes_a), (encode_b, bytes_b) = byte_level(path_a), pieces(path_b)
+        sizes_a, sizes_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (bytes_a, bytes_b))
+        cuts = not any(b" " in x.lstrip(b" ") for x in bytes_b)
+        for piece in slices(batches, "text", SLICE_BYTES):
+            own, words = [], []
+            for t in piece.column("text").to_pylist():
+                made = _units(t, cuts) if t else []
+                own.append(len(made))
+                words += made
+            at, known = pd.factorize(np.array([*words, None], dtype=object)[:-1])
+            a, b = [encode_a(" " + w) for w in known], encode_b(list(known))
+            spelled = [b"".join([bytes_a[i] for i in x]) == (raw := (" " + w).encode()) == b"".join([bytes_b[i] for i in y]) for w, x, y in zip(known, a, b)]
+            ends = np.cumsum(own)
+            bad = np.append(0, np.cumsum(~np.array(spelled, dtype=bool)[at]))
+            told = bad[ends] == bad[ends - own]  # documents whose bytes the tokens spell
+            at, own = at[np.repeat(told, own)], np.where(told, own, 0)
+            bounds = np.append(0, np.cumsum(own))
+            held = [np.add.reduceat(np.append(np.fromiter(map(len, x), dtype=np.int64, count=len(x))[at], 0), bounds[:-1]) * (own > 0) for x in (a, b)]
+            units = pa.StructArray.from_arrays([*tokens(a, sizes_a), *tokens(b, sizes_b)], of_unit.names)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at, pa.int32()))
+            made = pa.StructArray.from_arrays([piece.column("doc_id"), pa.array(held[0]), pa.array(held[1]), lists], ["doc_id", "n_a", "n_b", "units"])
+            rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (units, made)]
+            yield pa.RecordBatch.from_arrays(rows, ["units", "docs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _groups(cuts: Column, a_ids: Column, b_ids: Column, a_at: Column, b_at: Column) -> Column:
+    """The groups that end at each of the cuts, as `a1,a2|b1;a3|b2,b3`."""
 
     def written(a: Column, b: Column, c: Column) -> Column:
-        def group(cut: Column, k: Column) -> Column:
-            before = F.coalesce(F.get(c, k - 1), F.lit(0))
-            a0, a1 = (F.shiftright(x, 32).cast("int") for x in (before, cut))
-            b0, b1 = (x.bitwiseAND(low).cast("int") for x in (before, cut))
-            # one token on either side, as in most groups, needs no list
-            run = lambda ids, i, j: F.when(j == i + 1, F.get(ids, i)).otherwise(F.concat_ws(",", F.transform(F.sequence(i, j - 1), lambda x: F.get(ids, x))))
-            return F.concat(run(a, a0, a1), F.lit("|"), run(b, b0, b1))
+        def run(texts: Column, first: Column, last: Column) -> Column:
+            return F.when(first == last, F.get(texts, first)).otherwise(F.concat_ws(",", F.transform(F.sequence(first, last), lambda x: F.get(texts, x))))
+
+        def group(end: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(c, k - 1) + 1, F.lit(0))
+            return once(begin, lambda x: F.concat_ws("|", run(a, F.get(a_at, x), F.get(a_at, end)), run(b, F.get(b_at, x), F.get(b_at, end))))
 
         return F.concat_ws(";", F.transform(c, group))
 
@@ -156,14 +173,30 @@ def _groups(cuts: Column, a_ids: Column, b_ids: Column) -> Column:
     return once(texts(a_ids), lambda a: once(texts(b_ids), lambda b: once(cuts, lambda c: written(a, b, c))))
 
 
-def linked(tokens: DataFrame) -> DataFrame:
-    """tokens with `made`, a struct: links (ids of A * 2**32 + of B, ascending) and groups (text) of each row."""
-    a_ids, b_ids = F.col("a_ids"), F.col("b_ids")
-    places = F.sort_array(F.concat(_places(F.col("a_ends"), 0), _places(F.col("b_ends"), 1)))
-    met = once(places, lambda p: _met(p, a_ids, b_ids))
-    cuts = lambda m: F.transform(F.filter(m, lambda x: x < 0), lambda x: -x - 1)
-    made = once(met, lambda m: F.struct(F.sort_array(F.filter(m, lambda x: x >= 0)).alias("links"), _groups(cuts(m), a_ids, b_ids).alias("groups")))
-    return tokens.withColumn("made", made)
+def _aligned(unit: Column) -> Column:
+    """Of a unit's tokens: links (ids of A * 2**32 + of B), groups (text) and n_groups."""
+    a_ids, b_ids = unit.a_ids, unit.b_ids
+    pair = lambda a, b: F.shiftleft(a, 32).bitwiseOR(b)
+    made = lambda links, groups, n: F.struct(links.alias("links"), groups.alias("groups"), n.alias("n_groups"))
+    texts = F.zip_with(a_ids.cast("array<string>"), b_ids.cast("array<string>"), lambda a, b: F.concat_ws("|", a, b))
+    one_to_one = made(F.zip_with(a_ids, b_ids, pair), F.concat_ws(";", texts), F.size(a_ids))
+    cuts = F.array_intersect(unit.a_ends, unit.b_ends)
+    met = F.transform(F.sort_array(F.array_union(unit.a_ends, unit.b_ends)), lambda end: pair(F.get(a_ids, F.get(unit.a_at, end)), F.get(b_ids, F.get(unit.b_at, end))))
+    other = made(met, _groups(cuts, a_ids, b_ids, unit.a_at, unit.b_at), F.size(cuts))
+    return F.when(unit.a_ends == unit.b_ends, one_to_one).otherwise(other)
+
+
+def linked(slices: DataFrame) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, links and groups of the documents of tokenised slices."""
+
+    def document(doc: Column, links: Column, groups: Column, n: Column) -> Column:
+        total = F.aggregate(doc.units, F.lit(0).cast("long"), lambda sofar, u: sofar + F.get(n, u))
+        own = [F.flatten(F.transform(doc.units, lambda u: F.get(links, u))).alias("links"), F.concat_ws(";", F.transform(doc.units, lambda u: F.get(groups, u))).alias("groups")]
+        return F.struct(doc.doc_id.alias("doc_id"), doc.n_a.alias("n_a"), doc.n_b.alias("n_b"), total.alias("n_groups"), *own)
+
+    units = F.transform("units", _aligned)
+    made = once(units, lambda x: once(x.links, lambda a: once(x.groups, lambda b: once(x.n_groups, lambda c: F.transform("docs", lambda d: document(d, a, b, c))))))
+    return slices.select(F.explode(made).alias("doc")).select("doc.*")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -189,20 +222,14 @@ def _common_from(counts: DataFrame, most: int) -> int:
 def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id", most_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tokens = linked(tokenised(docs, path_a, path_b))
-    digest = F.when(F.size("a_ids") == 0, F.lit("")).otherwise(F.sha2(F.col("made.groups").cast("binary"), 256))
-    rows = tokens.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
-        F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"),
-        F.struct(F.col("made.links").alias("links"), digest.alias("groups_sha256")).alias("made"),
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    rows = linked(tokenised(docs, path_a, path_b)).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "links", digest.alias("groups_sha256")
     )
     path = f"{shared_folder(docs.sparkSession)}/links-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
     kept = docs.sparkSession.read.parquet(path)
-    links = kept.select("row", F.col("made.links").alias("links"))
+    links = kept.select("row", "links")
     counts = saved(pair_counts(links))
     least = _common_from(counts, most_pairs)
 
@@ -215,6 +242,5 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
         rare = rare.join(counts.where(F.col("n") < least), "pair").select(*worth(F.col("times")))
         found = sums(found.unionByName(sums(rare)))
     none = F.lit(0).cast("long")
-    return kept.join(found, "row", "left").select(
-        "doc_id", "n_a", "n_b", "n_groups", F.size("made.links").cast("long").alias("n_links"), F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "made.groups_sha256"
-    )
+    kept = kept.drop("links").join(found, "row", "left")
+    return kept.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")

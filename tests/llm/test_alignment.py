@@ -67,7 +67,7 @@ def rows(made) -> list[tuple]:
     return sorted((r.doc_id if r.doc_id is not None else -1, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in made.collect())
 
 
-TEXTS = ["Good morning to you", None, "", "naïve 日本語 😀 tail  ", "a ▁ literal", "<|endoftext|> and <s> here", "Good morning to you", " \n\tx\n\n y", "it's 12345 o'clock—now", "Zwölf Boxkämpfer jagen Viktor"]
+TEXTS = ["Good morning to you", None, "", "naïve 日本語 😀 tail  ", "a ▁ literal", "<|endoftext|> and <s> here", "Good morning to you", " \n\tx\n\n y", "it's 12345 o'clock—now", "Zwölf Boxkämpfer jagen Viktor", "ends in a space ", " ", "\n ", "a\u00a0 b \u2003c\x1c d\u0085 e"]
 
 
 @pytest.mark.parametrize("most_pairs", [0, 5, 10**6])
@@ -116,3 +116,15 @@ def test_ids_of_the_fast_encoder(spark):
     for t in [*texts, *filter(None, TEXTS), "a" * 5000]:
         ids = own.encode(" " + t, add_special_tokens=False).ids
         assert fast(" " + t) == ids and b"".join(spelled[i] for i in ids) == (" " + t).encode()
+
+
+def test_units_have_the_tokens_of_whole_texts():
+    own, model = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    own.encode_special_tokens = True
+    of_pieces = alignment.pieces(B)[0]
+    for t in [*pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.dropna(), *filter(None, TEXTS)]:
+        if t:
+            units = alignment._units(t, True)
+            assert " ".join(units) == t
+            assert [i for u in units for i in alignment.byte_level(A)[0](" " + u)] == own.encode(" " + t, add_special_tokens=False).ids
+            assert [i for ids in of_pieces(units) for i in ids] == model.encode(t)
