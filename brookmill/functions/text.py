@@ -71,12 +71,15 @@ def addresses(x: Column) -> Column:
 
 def corporate_domain(x: Column, shared: tuple[str, ...] = SHARED_DOMAINS) -> Column:
     """A company's own domain without `www.` and a last dot; null if malformed or a shared provider's."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"\.+$", ""), r"^www\.", "")
-    well_formed = host.rlike(r"^[a-z0-9]([a-z0-9.-]*[a-z0-9])?\.[a-z]{2,}$")
-    theirs = F.lit(False)
-    for domain in shared:
-        theirs = theirs | (host == domain) | host.endswith("." + domain)
-    return F.when(well_formed & ~theirs, host)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"\.+$", ""), r"^www\.", "")
+    known = F.array(*[F.lit(d) for d in shared])
+
+    def own(host: Column) -> Column:
+        well_formed = host.rlike(r"^[a-z0-9]([a-z0-9.-]*[a-z0-9])?\.[a-z]{2,}$")
+        suffixes = once(F.split(host, r"\."), lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
+        return F.when(well_formed & ~F.arrays_overlap(suffixes, known), host)
+
+    return once(bare, own)
 
 
 def company_name(x: Column) -> Column:

@@ -42,17 +42,24 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str], order: list[st
     return latest(state.unionByName(changes, allowMissingColumns=True), keys, order)
 
 
-def upsert_keeping(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The new snapshot, where a null in a change keeps the old value."""
+def upsert_keeping(state: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The new snapshot, one row a key, where a null in a change keeps the value before it.
+
+    Of several changes of a key the greatest by the order columns wins, column by column (without an order:
+    the greatest value). Null keys are keys like others.
+    """
     rest = [c for c in state.columns if c not in keys]
-    old, new = state.alias("old"), changes.alias("new")
-    joined = old.join(new, keys, "full")
-    return joined.select(*keys, *[F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c) for c in rest])
+    both = state.withColumn("_new", F.lit(0)).unionByName(changes.select(*state.columns).withColumn("_new", F.lit(1)))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", *(order or [c])))).alias(f"_{c}")
+    merged = both.groupBy(*keys).agg(*[last(c) for c in rest])
+    return merged.select(*keys, *[F.col(f"_{c}").alias(c) for c in rest]).select(*state.columns)
 
 
 def insert_new(state: DataFrame, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows whose key the state lacks, the first of each key."""
-    return top_per_key(rows.join(state.select(*keys).distinct(), keys, "left_anti"), keys, order)
+    """Rows whose key the state lacks, the first of each key. Null keys are keys like others."""
+    known = state.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = functools.reduce(operator.and_, [rows[k].eqNullSafe(known[f"_{k}"]) for k in keys])
+    return top_per_key(rows.join(known, same, "left_anti"), keys, order)
 
 
 def changed(new: DataFrame, seen: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -84,8 +91,8 @@ def lookup(df: DataFrame, dictionary: DataFrame, key: Column, to: str = "canonic
 
 
 def fill_gaps(df: DataFrame, learned: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """df with empty or null columns filled from learned rows of the same key."""
-    known = learned.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    """df with empty or null columns filled from learned rows of the same key; of several, the smallest value that isn't empty."""
+    known = learned.groupBy(*keys).agg(*[F.min(F.nullif(F.col(c), F.lit(""))).alias(f"_{c}") for c in columns])
     joined = df.join(known, keys, "left")
     filled = {c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")) for c in columns}
     return joined.withColumns(filled).select(*df.columns)

@@ -48,7 +48,9 @@ def found_terms(df: DataFrame, dictionary: DataFrame, id_column: str, text: str,
     the texts' word runs. Either way the work grows with the texts and not with texts times entries.
     A canonical name beats an alias.
     """
-    entries = dictionary.select(taxonomy_key(F.col("alias")).alias("phrase"), "canonical", "kind").where("phrase != ''").dropDuplicates(["phrase", "canonical"])
+    entries = dictionary.select(taxonomy_key(F.col("alias")).alias("phrase"), "canonical", "kind").where("phrase != ''")
+    kind = F.min(F.struct(F.when(F.col("kind") == "canonical", 0).otherwise(1).alias("o"), "kind")).alias("k")
+    entries = entries.groupBy("phrase", "canonical").agg(kind).select("phrase", "canonical", "k.kind")
     entries = entries.where(F.size(F.split("phrase", " ")) <= longest)
     few = entries.limit(inline + 1).collect()
     hits = _fetched(df, few, id_column, text) if len(few) <= inline else phrases(df, id_column, text, longest).join(entries, "phrase")

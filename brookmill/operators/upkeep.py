@@ -1,17 +1,31 @@
 """Upkeep of a dictionary (canonical, aliases, category, description) as snapshots, and what is proposed for it."""
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookmill.functions.text import corporate_domain, email_domain, squeezed, taxonomy_key
+from brookmill.functions.text import corporate_domain, email_domain, once, squeezed, taxonomy_key
 
 from .listing import united
 from .relational import latest
 
 # Endings of a title that say where the work is, and what a line of boilerplate or of a requirement looks like.
 TITLE_ENDINGS = r"(?i)\s*[-–—]\s*[A-Za-z .]{0,40}?\b(?:onsite|remote|hybrid)\b\.?\s*$|\s+in\s+[A-Z][a-zA-Z]+\s*$|\s*\((?:remote|onsite|hybrid)\)\s*$"
-BOILERPLATE_STARTS = ("click here", "unsubscribe", "manage preferences", "manage your preferences", "view in browser", "we are an equal opportunity employer", "our company is an equal opportunity employer", "equal opportunity", "equal employment opportunity")
-REQUIREMENT_SIGNS = (r"\b[0-9]+\+?\s*(?:years?|yrs?)\b", r"^(?:job title|location|rate|skills?|technology|certification)\s*:", r"\b(?:bachelor'?s|master'?s|phd|degree|certification|certified)\b", r"\b(?:experience with|experience in|hands[- ]on|proficiency in|knowledge of)\b", r"^(?:architect|build|configure|coordinate|create|develop|implement|lead|manage|provide|support|track|troubleshoot|work with)\b")
+BOILERPLATE_HEADINGS = ("requirements", "required qualifications", "preferred qualifications", "responsibilities", "roles and responsibilities", "job responsibilities", "job description", "position summary", "about the role", "what you will do", "what you'll do", "what we are looking for", "skills and qualifications", "education and experience", "additional information", "equal opportunity employer")
+BOILERPLATE_PATTERNS = (
+    r"^to (?:apply|be considered),? please (?:send|submit|share).{0,140}(?:resume|cv)",
+    r"^please (?:send|submit|share).{0,140}(?:resume|cv).{0,80}(?:rate|availability|contact)?$",
+    r"^(?:click here|unsubscribe|manage (?:your )?preferences|view in browser)",
+    r"^(?:this email|this message).{0,180}(?:confidential|intended recipient)",
+    r"^(?:we are|our company is) an equal opportunity employer",
+    r"^equal (?:employment )?opportunity.{0,180}$",
+    r"^(?:strong|excellent) (?:written and verbal )?(?:communication|analytical|problem[- ]solving|organizational|time[- ]management|interpersonal|presentation)(?: and (?:communication|analytical|problem[- ]solving|organizational|time[- ]management|interpersonal|presentation))* (?:skills|abilities|capabilities)[.!]?$",
+    r"^ability to manage multiple priorities in a fast[- ]paced environment[.!]?$",
+    r"^perform other related duties as assigned[.!]?$",
+)
+REQUIREMENT_SIGNS = (r"\b\d+\+?\s*(?:years?|yrs?)\b", r"^(?:job title|location|rate|skills?|technology|certification)\s*:", r"\b(?:bachelor'?s|master'?s|phd|degree|certification|certified)\b", r"\b(?:experience with|experience in|hands[- ]on|proficiency in|knowledge of)\b", r"^(?:architect|build|configure|coordinate|create|develop|implement|lead|manage|provide|support|track|troubleshoot|work with)\b")
 LONGEST_LINE = 220
 # Words around skills that are wanted, welcome or ruled out, in the order in which they claim a skill.
 CUES = {"required": r"\b(?:must[ -]?have|required|mandatory|need(?:ed)?|strong experience)\b", "preferred": r"\b(?:preferred|nice[ -]?to[ -]?have|good[ -]?to[ -]?have|bonus|plus)\b", "excluded": r"\b(?:exclude|excluded|without|must not have|no experience with)\b"}
@@ -82,13 +96,9 @@ def bare_title(title: Column) -> Column:
 def boilerplate_decision(line: Column) -> Column:
     """approve for lines that are surely boilerplate, reject for long or listed ones and requirements, else review."""
     clean = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"\s+", " "))
-    low = F.lower(clean)
-    sure = F.lit(False)
-    for start in BOILERPLATE_STARTS:
-        sure = sure | low.startswith(start)
-    wanted = F.lit(False)
-    for sign in REQUIREMENT_SIGNS:
-        wanted = wanted | low.rlike(sign)
+    heading = F.regexp_replace(F.lower(clean), r"^[ :\-–—.!]+|[ :\-–—.!]+$", "")
+    like = lambda patterns: functools.reduce(operator.or_, [clean.rlike(f"(?iu){p}") for p in patterns])
+    sure, wanted = heading.isin(*BOILERPLATE_HEADINGS) | like(BOILERPLATE_PATTERNS), like(REQUIREMENT_SIGNS)
     return F.when(sure, "approve").when((F.length(clean) > LONGEST_LINE) | clean.rlike(r"^(?:[•●▪]|- )") | wanted, "reject").otherwise("review")
 
 
@@ -111,7 +121,11 @@ def company_observation(company: Column, contact: Column, website: Column, sende
     """
     address = lambda x: corporate_domain(email_domain(F.when(squeezed(x).rlike(r"^[^\s@]+@[^\s@]+$"), x)))
     host = corporate_domain(F.nullif(F.lower(F.regexp_extract(website, r"^https?://([^/?#:]+)", 1)), F.lit("")))
-    own, sent = address(contact), address(sender)
+    found = F.struct(company.alias("company"), host.alias("host"), address(contact).alias("own"), address(sender).alias("sent"))
+    return once(found, lambda x: _observed(x.company, x.host, x.own, x.sent))
+
+
+def _observed(company: Column, host: Column, own: Column, sent: Column) -> Column:
     make = lambda domain, name, method, sure, reason: F.struct(domain.alias("domain"), name.alias("name"), F.lit(method).alias("method"), F.lit(sure).cast("double").alias("confidence"), F.lit(reason).cast("string").alias("reason"))
     none = F.lit(None).cast("string")
     signed = F.when(company.isNotNull() & own.isNotNull(), make(own, company, "signature", 0.9, "linked_signature")).when(company.isNotNull() & host.isNotNull(), make(host, company, "signature", 0.9, "linked_signature"))

@@ -1,3 +1,3 @@
-from . import listing, messages, registry, reports, rows, state, texts, upkeep, workflow
+from . import listing, messages, places, registry, reports, rows, state, texts, upkeep, workflow
 
-__all__ = ["listing", "messages", "registry", "reports", "rows", "state", "texts", "upkeep", "workflow"]
+__all__ = ["listing", "messages", "places", "registry", "reports", "rows", "state", "texts", "upkeep", "workflow"]

@@ -9,6 +9,9 @@ from brookmill.functions.text import addresses, base64url, strip_html
 
 COLUMNS = ("channel", "source_message_id", "sender_email", "sender_name", "text", "received_at")
 
+#: Levels of MIME parts within parts that are read.
+MIME_LEVELS = 10
+
 
 def _message(df: DataFrame, channel: str, message_id: Column, email: Column, name: Column, text: Column, at: Column) -> DataFrame:
     values = (F.lit(channel), message_id.cast("string"), F.lower(email), name, F.coalesce(text, F.lit("")), at.cast("timestamp"))
@@ -27,13 +30,29 @@ def email_webhook(df: DataFrame) -> DataFrame:
     return _message(df, "email", _first(j("message_id"), j("id")), F.get(addresses(j("from")), F.lit(0)), F.nullif(F.trim(F.regexp_extract(j("from"), r"^([^<]+)<", 1)), F.lit("")), text, j("date"))
 
 
-def gmail(df: DataFrame) -> DataFrame:
-    """payload: a message with headers, and a body in base64 of its own or of its first text part."""
-    schema = "struct<id:string,internalDate:string,payload:struct<headers:array<struct<name:string,value:string>>,body:struct<data:string>,parts:array<struct<mimeType:string,body:struct<data:string>>>>>"
-    m = df.select(F.from_json("payload", schema).alias("m"))
+def _part(levels: int, extra: str = "") -> str:
+    """The type of a MIME part with so many levels of parts below it."""
+    below = f",parts:array<{_part(levels - 1)}>" if levels else ""
+    return f"struct<mimeType:string,body:struct<data:string>{extra}{below}>"
+
+
+def mime_text(part: Column, levels: int) -> Column:
+    """The text of a MIME part, null if there is none: its own if it is plain, else the first text among its plain parts,
+    then among all its parts, depth first, else whatever its body holds."""
+    own = F.nullif(base64url(part["body"]["data"]), F.lit(""))
+    if not levels:
+        return own
+    parts = part["parts"]
+    below = F.concat(F.filter(parts, lambda p: p["mimeType"] == "text/plain"), F.filter(parts, lambda p: ~p["mimeType"].eqNullSafe("text/plain")))
+    first = F.get(F.filter(F.transform(below, lambda p: mime_text(p, levels - 1)), lambda t: t.isNotNull()), F.lit(0))
+    return F.coalesce(F.when(part["mimeType"] == "text/plain", own), first, own)
+
+
+def gmail(df: DataFrame, levels: int = MIME_LEVELS) -> DataFrame:
+    """payload: a message with headers and a tree of MIME parts, bodies in base64; levels: how deep the tree is read. Without any text, the snippet counts."""
+    m = df.select(F.from_json("payload", f"struct<id:string,internalDate:string,snippet:string,payload:{_part(levels, ',headers:array<struct<name:string,value:string>>')}>").alias("m"))
     header = lambda n: F.get(F.filter("m.payload.headers", lambda h: F.lower(h["name"]) == n), F.lit(0))["value"]
-    part = F.get(F.filter("m.payload.parts", lambda p: p["mimeType"] == "text/plain"), F.lit(0))["body"]["data"]
-    text = base64url(F.coalesce(F.col("m.payload.body.data"), part))
+    text = F.coalesce(mime_text(F.col("m.payload"), levels), F.col("m.snippet"))
     return _message(m, "gmail", F.col("m.id"), F.get(addresses(header("from")), F.lit(0)), F.nullif(F.trim(F.regexp_extract(header("from"), r"^([^<]+)<", 1)), F.lit("")), text, F.timestamp_millis(F.col("m.internalDate").try_cast("long")))
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookmill import schemas
-from brookmill.operators import extract, matching, parsers, relational, taxonomy
+from brookmill.operators import extract, matching, parsers, relational, taxonomy, upkeep
 
 
 def rows(df, *order):
@@ -27,6 +27,63 @@ def test_upserts(spark):
     assert rows(relational.upsert_keeping(state, new, ["k"]), "k") == [("a", 2, "x"), ("b", 1, "y"), ("c", 1, "z")]
 
 
+def test_several_changes_and_null_keys_make_one_row_each(spark):
+    state = spark.createDataFrame([("a", 1, "x"), (None, 1, "n")], "k string, t int, v string")
+    new = spark.createDataFrame([("a", 3, None), ("a", 2, "y"), (None, 2, None), ("b", 1, None), ("b", 1, None)], "k string, t int, v string")
+    assert rows(relational.upsert_keeping(state, new, ["k"], ["t"]), "k") == [(None, 2, "n"), ("a", 3, "y"), ("b", 1, None)]
+    more = spark.createDataFrame([(None, 9, "again"), ("c", 2, "second"), ("c", 1, "first"), ("a", 5, "old")], "k string, t int, v string")
+    assert rows(relational.insert_new(state, more, ["k"], [F.asc("t")]), "k") == [("c", 1, "first")]
+    two = relational.insert_new(state.where("k is not null"), more, ["k", "v"], [F.asc("t")])
+    assert two.count() == 4
+
+
+def test_several_learned_rows_double_nothing(spark):
+    df = spark.createDataFrame([("d", ""), ("e", "own")], "k string, v string")
+    learned = spark.createDataFrame([("d", "two"), ("d", "one"), ("d", ""), ("e", "x"), ("e", "y")], "k string, v string")
+    assert rows(relational.fill_gaps(df, learned, ["k"], ["v"]), "k") == [("d", "one"), ("e", "own")]
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_the_canonical_kind_wins_in_any_order(spark, back):
+    entries = [("Java", "Java", "canonical"), ("java", "Java", "alias")]
+    dictionary = spark.createDataFrame(entries[::-1] if back else entries, "alias string, canonical string, kind string")
+    df = spark.createDataFrame([(1, "We use java here")], "id int, text string")
+    assert rows(taxonomy.found_terms(df, dictionary, "id", "text").select("canonical", "kind"), "kind") == [("Java", "canonical")]
+
+
+LINES = {
+    "Requirements:": "approve",
+    "WHAT YOU'LL DO": "approve",
+    "This email is confidential and meant for one reader": "approve",
+    "Equal opportunity for all": "approve",
+    "Equal opportunity " + "x" * 181: "review",
+    "To apply, please send us your latest CV": "approve",
+    "Excellent written and verbal communication and analytical skills!": "approve",
+    "Ability to manage multiple priorities in a fast-paced environment": "approve",
+    "Strong Java skills": "review",
+    "- anything listed": "reject",
+    "y" * 221: "reject",
+    "Needs 5+ yrs of it": "reject",
+    "Job title: clerk": "reject",
+    "our office is nice": "review",
+    "": "review",
+}
+
+
+def test_boilerplate_lines(spark):
+    df = spark.createDataFrame(list(LINES.items()), "line string, wanted string")
+    got = df.select("line", "wanted", upkeep.boilerplate_decision(F.col("line")).alias("made")).collect()
+    assert not [r for r in got if r.wanted != r.made]
+
+
+def test_company_observations_plan_stays_small(spark):
+    c = F.col
+    df = spark.createDataFrame([("Acme", "a@x.mail.acme.io", None, "z@gmail.com"), ("Acme", "a@eu.gmail.com", "https://www.web.io.", "q@notgmail.com"), (None, None, None, "q@notgmail.com")], "n string, c string, w string, s string")
+    made = df.select(upkeep.company_observation(c("n"), c("c"), c("w"), c("s")).alias("o"))
+    assert [(r.o.domain, r.o.method) for r in made.collect()] == [("x.mail.acme.io", "signature"), ("web.io", "signature"), ("notgmail.com", "sender_domain")]
+    assert len(made._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
 def test_domain_block_wins_over_email(spark):
     df = spark.createDataFrame([("a@x.com", "x.com"), ("b@y.com", "y.com"), ("c@z.com", "z.com")], "e string, d string")
     block = spark.createDataFrame([("email", "a@x.com"), ("domain", "x.com"), ("email", "b@y.com")], "match_type string, value string")
