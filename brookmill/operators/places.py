@@ -73,11 +73,11 @@ def term_places(df: DataFrame, dictionary: DataFrame, id_column: str, text: str,
 
     Case is ignored; no letter or digit may touch a phrase. Places of different phrases may overlap.
     """
-    wanted = phrases(dictionary)
-    blocks = max(1, -(-wanted.count() // block))
+    wanted = phrases(dictionary).collect()  # the dictionary is the stated side; its blocks travel with the tasks
+    blocks = max(1, -(-len(wanted) // block))
     dealt: dict[int, list] = defaultdict(list)
     # by the folded spelling, so that the names that share one stay together
-    for r in wanted.collect():  # the dictionary is the stated side; its blocks travel with the tasks
+    for r in wanted:
         dealt[hash_of(folded(r.phrase)) % blocks].append((r.phrase, r.canonical, r.kind))
     fields = [T.StructField("raw_text", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
     schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), *fields])
