@@ -377,6 +377,6 @@ def _of_keys(keyed: DataFrame, kept: DataFrame, most: int) -> DataFrame:
     special = saved(keys.where("_kept is null or n > 1").select("_key", F.coalesce("_kept", F.lit(False)).alias("_kept")))
     if special.count() > most:
         return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
-    one, two = F.xxhash64("_key"), F.xxhash64("_key", F.lit("two"))
+    one, two = F.xxhash64("_key"), F.xxhash64(F.reverse("_key"))  # neither follows from the other
     rows = keyed.select("row", "_key", one.alias("_one"), two.alias("_two")).join(F.broadcast(special.select(one.alias("_one"), two.alias("_two"), "_kept")), ["_one", "_two"], "left")
     return rows.where("_kept is null").select("row").union(rows.where("_kept").dropDuplicates(["_key"]).select("row"))
