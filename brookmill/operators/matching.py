@@ -9,6 +9,8 @@ from brookmill.functions.text import match_text
 # Weights and thresholds of the match score.
 WEIGHTS = {"required_skill": 0.55, "preferred_skill": 0.15, "years": 0.15, "work_authorization": 0.10, "location": 0.05}
 SUBMIT_SCORE, SUBMIT_YEARS, REVIEW_SCORE, REVIEW_SKILL = 80.0, 80.0, 60.0, 60.0
+# Spellings of a work authorisation.
+AUTHORIZATIONS = {"h1b": ("h1b", "h 1b", "h1 b"), "green card": ("gc", "green card", "greencard"), "us citizen": ("usc", "us citizen", "citizen", "us citizenship")}
 # Stages of a submission and where each may lead.
 TRANSITIONS = {
     "discovered": ("matched", "intro_requested", "submitted", "duplicate_risk", "closed_lost"),
@@ -29,19 +31,26 @@ TRANSITIONS = {
 
 
 def overlap_percent(wanted: Column, held: Column, if_none: float) -> Column:
-    """Share of the wanted set that is held, in percent; if_none where nothing is wanted."""
+    """Share of the wanted set that is held, in percent to 2 decimals; if_none where nothing is wanted."""
     wanted = F.array_distinct(F.coalesce(wanted, F.array().cast("array<string>")))
     both = F.size(F.array_intersect(wanted, F.coalesce(held, F.array().cast("array<string>"))))
-    return F.coalesce(percent(both, F.size(wanted)), F.lit(if_none))
+    return F.coalesce(F.bround(percent(both, F.size(wanted)), 2), F.lit(if_none))
 
 
 def years_score(have: Column, want: Column) -> Column:
-    return F.when(want.isNull() | (want <= 0), 100.0).when(have.isNull(), 50.0).when(have >= want, 100.0).otherwise(clamp(100.0 * have / want, 0.0, 100.0))
+    return F.when(want.isNull() | (want <= 0), 100.0).when(have.isNull(), 50.0).when(have >= want, 100.0).otherwise(F.bround(clamp(100.0 * have / want, 0.0, 100.0), 2))
+
+
+def authorization_key(x: Column) -> Column:
+    """One spelling of a work authorisation; empty for null."""
+    key = match_text(x)
+    same = F.create_map(*[F.lit(v) for k, vs in AUTHORIZATIONS.items() for w in vs for v in (w, k)])
+    return F.coalesce(F.try_element_at(same, key), key, F.lit(""))
 
 
 def authorization_score(have: Column, want: Column) -> Column:
     """100 where nothing is wanted or either contains the other, 50 where unknown, else 0."""
-    have, want = (F.coalesce(match_text(x), F.lit("")) for x in (have, want))
+    have, want = authorization_key(have), authorization_key(want)
     return F.when((want == "") | want.isin("any", "open", "all"), 100.0).when(have == "", 50.0).when(want.contains(have) | have.contains(want), 100.0).otherwise(0.0)
 
 
@@ -72,7 +81,7 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
         "location_score": location_score(r("location"), j("location")),
         "missing_required": F.array_sort(F.array_except(keys(j("required_skills")), F.coalesce(keys(r("skills")), F.array().cast("array<string>")))),
     })
-    out = out.withColumn("match_score", match_score(*[F.col(f"{k}_score") for k in WEIGHTS]))
+    out = out.withColumn("match_score", F.bround(match_score(*[F.col(f"{k}_score") for k in WEIGHTS]), 2))
     return out.withColumn("decision", decision(F.col("match_score"), F.col("required_skill_score"), F.col("years_score"), F.col("work_authorization_score")))
 
 

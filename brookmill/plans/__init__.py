@@ -1,3 +1,3 @@
-from . import listing, messages, places, registry, reports, rows, signatures, state, texts, upkeep, workflow
+from . import best, listing, messages, places, registry, reports, rows, signatures, state, texts, upkeep, workflow
 
-__all__ = ["listing", "messages", "places", "registry", "reports", "rows", "signatures", "state", "texts", "upkeep", "workflow"]
+__all__ = ["best", "listing", "messages", "places", "registry", "reports", "rows", "signatures", "state", "texts", "upkeep", "workflow"]
