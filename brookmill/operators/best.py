@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from brookmill.functions.text import match_text, taxonomy_key
 
-from .matching import REVIEW_SKILL, scored_pairs
+from .matching import REVIEW_SKILL, authorization_key, scored_pairs
 
 #: Rows of one skill on either side of a cell.
 CELL = 2_000
@@ -45,7 +45,7 @@ def _keys(x: str) -> Column:
 
 def _classes(df: DataFrame, id_column: str, parts: list[str], most: int | None) -> tuple[DataFrame, DataFrame]:
     """Rows that are alike in all parts as one (class, first id, parts), and the members of each class, `most` smallest ids at most."""
-    told = df.withColumn("class", F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
+    told = df.withColumn("class", F.unhex(F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)))
     classes = told.groupBy("class").agg(F.min(id_column).alias("first_id"), *[F.first(p).alias(p) for p in parts])
     members = told.select("class", F.col(id_column).alias("id"))
     if most:
@@ -75,8 +75,9 @@ def best_jobs(resumes: DataFrame, jobs: DataFrame, index: DataFrame, k: int = 10
     wanted = F.col("required_skills")
     if "skills" in jobs.columns:
         wanted = F.when(F.size(F.coalesce(wanted, F.array().cast("array<string>"))) > 0, wanted).otherwise(F.col("skills"))
-    offers = skill_keys(resumes.select("resume_id", "skills", *_OFFER), "resume_id", ["skills"], index).withColumn("skills", _keys("skills")).where(F.size("skills") > 0)
-    asks = skill_keys(jobs.select("job_id", wanted.alias("required"), F.col("preferred_skills").alias("preferred"), *_OFFER), "job_id", ["required", "preferred"], index).where(F.size("required") > 0)
+    parts = [F.col("years_experience"), authorization_key(F.col("work_authorization")).alias("work_authorization"), F.coalesce(match_text(F.col("location")), F.lit("")).alias("location")]
+    offers = skill_keys(resumes.select("resume_id", "skills", *parts), "resume_id", ["skills"], index).withColumn("skills", _keys("skills")).where(F.size("skills") > 0)
+    asks = skill_keys(jobs.select("job_id", wanted.alias("required"), F.col("preferred_skills").alias("preferred"), *parts), "job_id", ["required", "preferred"], index).where(F.size("required") > 0)
     offer, offered_by = _classes(offers, "resume_id", ["skills", *_OFFER], None)
     asked = asks.withColumns({"required_keys": _keys("required"), "preferred_keys": _keys("preferred")})
     ask, asked_by = _classes(asked, "job_id", ["required_keys", "preferred_keys", *_OFFER], k)
@@ -87,19 +88,17 @@ def best_jobs(resumes: DataFrame, jobs: DataFrame, index: DataFrame, k: int = 10
     held = lambda n: F.ceil(n * F.lit(least) / 100 - 1e-9).cast("int")
     prefix = required.groupBy("class").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "skill"))).alias("rare"))
     prefix = prefix.select("class", F.slice(F.transform("rare", lambda s: s["skill"]), F.lit(1), size - held(size) + 1).alias("prefix"))
-    left = offer.select("class", F.explode("skills").alias("skill"))
-    right = prefix.select("class", "prefix", F.explode("prefix").alias("skill"))
+    resume, job = F.struct("skills", *_OFFER), F.struct(F.col("required_keys").alias("required_skills"), F.col("preferred_keys").alias("preferred_skills"), *_OFFER)
+    left = offer.select("class", resume.alias("resume"), F.explode("skills").alias("skill"))
+    right = prefix.join(ask.select("class", F.col("first_id").alias("first_job"), job.alias("job")), "class").withColumn("skill", F.explode("prefix"))
     of = lambda rows, name: rows.groupBy("skill").agg(F.ceil(F.count("*") / cell).cast("int").alias(name))
-    cells = of(left, "row").join(of(right, "column"), "skill")
-    left = _dealt(left, "row", "column", cells).withColumnRenamed("class", "offer")
-    right = _dealt(right, "column", "row", cells).withColumnRenamed("class", "ask")
-    met = left.join(right, ["skill", "row", "column"]).select("offer", "ask", "skill", "prefix")
-
-    own = offer.select(F.col("class").alias("offer"), F.struct("skills", *_OFFER).alias("resume"))
-    job = ask.select(F.col("class").alias("ask"), F.col("first_id").alias("first_job"), F.struct(F.col("required_keys").alias("required_skills"), F.col("preferred_keys").alias("preferred_skills"), *_OFFER).alias("job"))
-    pairs = met.join(own, "offer").where(F.get(F.array_intersect("prefix", "resume.skills"), F.lit(0)) == F.col("skill"))
-    pairs = pairs.join(job, "ask").where(F.size(F.array_intersect("job.required_skills", "resume.skills")) >= held(F.size("job.required_skills")))
-    pairs = scored_pairs(pairs)
+    cells = of(left.select("skill"), "row").join(of(right.select("skill"), "column"), "skill")
+    # postings carry what a score needs, so that pairs aren't shuffled; small postings make many pairs, so their tasks aren't merged
+    tasks, place = int(resumes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["skill", "row", "column"]
+    left = _dealt(left, "row", "column", cells).withColumnRenamed("class", "offer").repartition(tasks, *place)
+    right = _dealt(right, "column", "row", cells).withColumnRenamed("class", "ask").repartition(tasks, *place)
+    met = left.join(right, place).where(F.get(F.array_intersect("prefix", "resume.skills"), F.lit(0)) == F.col("skill"))
+    pairs = scored_pairs(met.where(F.size(F.array_intersect("job.required_skills", "resume.skills")) >= held(F.size("job.required_skills"))), keyed=True)
     best = Window.partitionBy("offer").orderBy(F.desc("match_score"), "first_job")
     kept = pairs.select("offer", "ask", "first_job", "match_score", "decision").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
 

@@ -48,14 +48,14 @@ def authorization_key(x: Column) -> Column:
     return F.coalesce(F.try_element_at(same, key), key, F.lit(""))
 
 
-def authorization_score(have: Column, want: Column) -> Column:
-    """100 where nothing is wanted or either contains the other, 50 where unknown, else 0."""
-    have, want = authorization_key(have), authorization_key(want)
+def authorization_score(have: Column, want: Column, keyed: bool = False) -> Column:
+    """100 where nothing is wanted or either contains the other, 50 where unknown, else 0. keyed: they are keys already."""
+    have, want = (have, want) if keyed else (authorization_key(have), authorization_key(want))
     return F.when((want == "") | want.isin("any", "open", "all"), 100.0).when(have == "", 50.0).when(want.contains(have) | have.contains(want), 100.0).otherwise(0.0)
 
 
-def location_score(have: Column, want: Column) -> Column:
-    have, want = (F.coalesce(match_text(x), F.lit("")) for x in (have, want))
+def location_score(have: Column, want: Column, keyed: bool = False) -> Column:
+    have, want = (have, want) if keyed else (F.coalesce(match_text(x), F.lit("")) for x in (have, want))
     near = want.contains("remote") | have.contains("remote") | want.contains(have) | have.contains(want)
     return F.when(want == "", 100.0).when(have == "", 70.0).when(near, 100.0).otherwise(60.0)
 
@@ -69,16 +69,16 @@ def decision(score: Column, required: Column, years: Column, authorization: Colu
     return F.when(submit, "submit").when((score >= REVIEW_SCORE) & (required >= REVIEW_SKILL) & (authorization > 0), "review").otherwise("reject")
 
 
-def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs of structs resume and job with the part scores, the score and the decision."""
+def scored_pairs(pairs: DataFrame, keyed: bool = False) -> DataFrame:
+    """Pairs of structs resume and job with the part scores, the score and the decision. keyed: skills, authorisations and places are keys already."""
     r, j = (lambda name: F.col(f"resume.{name}")), (lambda name: F.col(f"job.{name}"))
-    keys = lambda x: F.transform(x, match_text)
+    keys = lambda x: x if keyed else F.transform(x, match_text)
     out = pairs.withColumns({
         "required_skill_score": overlap_percent(keys(j("required_skills")), keys(r("skills")), 100.0),
         "preferred_skill_score": overlap_percent(keys(j("preferred_skills")), keys(r("skills")), 0.0),
         "years_score": years_score(r("years_experience"), j("years_experience")),
-        "work_authorization_score": authorization_score(r("work_authorization"), j("work_authorization")),
-        "location_score": location_score(r("location"), j("location")),
+        "work_authorization_score": authorization_score(r("work_authorization"), j("work_authorization"), keyed),
+        "location_score": location_score(r("location"), j("location"), keyed),
         "missing_required": F.array_sort(F.array_except(keys(j("required_skills")), F.coalesce(keys(r("skills")), F.array().cast("array<string>")))),
     })
     out = out.withColumn("match_score", F.bround(match_score(*[F.col(f"{k}_score") for k in WEIGHTS]), 2))
