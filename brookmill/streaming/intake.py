@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from brookmill.operators.relational import insert_new
-
 # Seconds before each further attempt, and statuses that are never tried again.
 RETRY_SECONDS = (5, 15, 60, 300, 900)
 GONE = (404, 410)
@@ -33,24 +31,18 @@ def retry_plan(attempt: Column, status: Column, retry_after: Column) -> Column:
 
 
 def write_new(stream: DataFrame, state_path: str, keys: list[str], order: list[str], checkpoint: str):
-    """Append each message's first arrival to the table at state_path; keys are remembered for good.
+    """Append each message's first arrival to the table at state_path; keys are remembered for good, in the state store.
 
-    A batch that runs again after a failure finds its own rows by the batch number, so its effect
-    happens once.
+    A batch that runs again after a failure finds the same keys new and replaces its own folder, so its
+    effect happens once.
     """
+    from .arrivals import first_arrivals, on_rocksdb
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            state = spark.read.parquet(state_path).where(F.col("_batch") != number)
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            state = batch.withColumn("_batch", F.lit(number)).limit(0)
-        fresh = insert_new(state, batch, keys, [F.asc(c) for c in order])
-        fresh.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(state_path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{state_path}/_batch={number}")
+
+    fresh = on_rocksdb(first_arrivals(stream, keys, order))
+    return fresh.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
