@@ -6,6 +6,8 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brookmill.functions.text import once
+
 from . import extract
 
 # Words that tell a document's kind, in the order in which kinds are tried.
@@ -21,8 +23,13 @@ KIND_MARKERS = {
 DRAFTS = {"resume": "draft_consultant_profile", "job_description": "draft_job_requirement", "hotlist": "draft_hotlist", "recruiter_profile": "draft_recruiter_profile", "bench_sales_profile": "draft_bench_sales_profile", "consultant_profile": "draft_consultant_profile", "vendor_list": "draft_vendor_list", "plain_message": "draft_channel_note", "unknown": "draft_channel_note"}
 LEAST_QUALITY = {"resume": 0.70, "job_description": 0.70, "message": 0.60, "unknown": 0.70}
 UNMEASURED = {"unknown": 0.2, "plain_message": 0.6}
-# Some frequent words of languages.
-FREQUENT = {"en": ("the", "and", "of", "to", "in", "is", "for", "with"), "es": ("el", "la", "los", "de", "que", "y", "en", "una"), "fr": ("le", "les", "des", "et", "une", "est", "dans", "pour"), "de": ("der", "die", "das", "und", "ist", "nicht", "mit", "ein")}
+# Frequent words of languages; a word counts for every language that has it.
+FREQUENT = {
+    "en": "the of and to a in is that it for was on with be by as this are at from we you your our have has not but or will can they their which who an",
+    "es": "el la los las de del que y en un una por con no se su sus al lo es son para como más pero este esta nuestro nuestra usted tiene hay muy ya o",
+    "fr": "le la les de des du et en un une est sont que qui pour dans sur par pas au aux avec ce cette nous vous votre notre il elle avons ne se plus ou",
+    "de": "der die das den dem des und in ist sind nicht mit ein eine einen einem einer zu von für auf sich im wir sie ihr ich es als auch haben hat bei nach oder",
+}
 
 
 def _mapped(x: Column, names: dict, otherwise) -> Column:
@@ -65,11 +72,14 @@ def needs_fallback(confidence: Column, kind: Column) -> Column:
 
 def language(text: Column) -> Column:
     """The language whose frequent words occur most often (ties: the first by name), unknown for short texts and those without any."""
-    words = extract.words_in(F.lower(F.trim(text)))
-    held = lambda own: F.size(F.filter(words, lambda w: w.isin(*own)))
-    counts = F.array(*[F.struct((-held(own)).alias("n"), F.lit(k).alias("lang")) for k, own in sorted(FREQUENT.items())])
-    best = F.array_min(counts)
-    return F.when((F.length(F.trim(text)) < 20) | (best["n"] == 0), "unknown").otherwise(F.coalesce(best["lang"], F.lit("unknown")))
+
+    def of(words: Column) -> Column:
+        held = lambda own: F.size(F.filter(words, lambda w: w.isin(*own.split())))
+        best = F.array_min(F.array(*[F.struct((-held(own)).alias("n"), F.lit(k).alias("lang")) for k, own in sorted(FREQUENT.items())]))
+        return once(best, lambda b: F.when(b["n"] < 0, b["lang"]).otherwise("unknown"))
+
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    return F.when(F.length(F.trim(text)) >= 20, once(words, of)).otherwise("unknown")
 
 
 def fallback(weak: Column, source: Column, attempted: Column, has_text: Column, cloud: bool = False, model: bool = False) -> Column:

@@ -1,3 +1,3 @@
-from . import best, listing, mails, messages, places, registry, reports, rows, signatures, state, texts, upkeep, workflow
+from . import best, listing, mails, messages, places, projection, registry, reports, rows, signatures, state, texts, upkeep, workflow
 
-__all__ = ["best", "listing", "mails", "messages", "places", "registry", "reports", "rows", "signatures", "state", "texts", "upkeep", "workflow"]
+__all__ = ["best", "listing", "mails", "messages", "places", "projection", "registry", "reports", "rows", "signatures", "state", "texts", "upkeep", "workflow"]

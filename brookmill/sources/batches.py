@@ -48,3 +48,8 @@ def _if_there(read: Callable):
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return None
+
+
+def of(spark: SparkSession, root: str, name: str, schema: str, number: int) -> DataFrame:
+    """A table's rows of one batch."""
+    return spark.read.schema(schema).parquet(_path(root, name, number))

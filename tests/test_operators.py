@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookmill import schemas
-from brookmill.operators import extract, matching, parsers, relational, taxonomy, upkeep
+from brookmill.operators import extract, matching, parsers, relational, taxonomy, understanding, upkeep
 
 
 def rows(df, *order):
@@ -230,3 +230,19 @@ def test_boilerplate_never_empties_a_text(spark):
     df = spark.createDataFrame([(1, "Keep\nSent from  my phone"), (2, "sent from my PHONE")], "id int, text string")
     approved = spark.createDataFrame([("sent from my phone",)], "line string")
     assert rows(parsers.without_boilerplate(df, "id", "text", approved), "id") == [(1, "Keep"), (2, "sent from my PHONE")]
+
+
+def test_language(spark):
+    texts = {
+        "de": "Wir suchen einen Entwickler für unser Büro in Berlin.", "fr": "Nous avons besoin de vous pour un projet à Lyon.", "es": "Buscamos una persona para la oficina de Madrid.",
+        "en": "We are looking for a developer who can start soon.", "unknown": "Lorem ipsum dolor consectetur",
+    }
+    df = spark.createDataFrame(list(texts.items()), "wanted string, text string")
+    assert {r.wanted: r.found for r in df.select("wanted", understanding.language(F.col("text")).alias("found")).collect()} == {k: k for k in texts}
+    assert [r[0] for r in spark.createDataFrame([(None,), ("",), ("der die das",)], "t string").select(understanding.language(F.col("t"))).collect()] == ["unknown"] * 3
+
+
+def test_language_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and length(trim(text)) >= 200")
+    right = docs.select((understanding.language(F.col("text")) == F.col("lang")).cast("double").alias("r")).agg(F.avg("r")).first()[0]
+    assert right >= 0.97
