@@ -93,6 +93,9 @@ def field_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT l_orderkey, arg_min(l_shipdate, l_linenumber * 1000000000::BIGINT + l_partkey) FILTER (l_returnflag = 'R') AS first_return FROM lineitem GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN l_shipdate ELSE first_return END AS returned FROM lineitem JOIN f USING (l_orderkey)""")
 def filled_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without a return date take the first one of their order."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("returned"))
-    return relational.filled_both_ways(lines, "l_orderkey", ["l_linenumber", "l_partkey"], ["returned"])
+    """Lines without a return date take the first one of their order; of lines alike in number and part the first in the file counts."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("returned"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
+    )
+    return relational.filled_both_ways(lines, "l_orderkey", ["l_linenumber", "l_partkey", "_file", "_row"], ["returned"]).drop("_file", "_row")
