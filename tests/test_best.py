@@ -84,3 +84,14 @@ def test_authorizations(spark):
     df = spark.createDataFrame([("H 1B", "h1b", 100.0), ("GC", "Green-Card", 100.0), ("usc", "citizen", 100.0), (None, "gc", 50.0), ("opt", "any", 100.0), ("opt", "gc", 0.0)], "have string, want string, score double")
     rows = df.select("score", matching.authorization_score(df.have, df.want).alias("got")).collect()
     assert [r.got for r in rows] == [r.score for r in rows]
+
+
+def test_jobs_of_one_set_of_skills_are_not_met_one_by_one(spark, index, monkeypatch):
+    sizes, kept = [], best.saved
+    monkeypatch.setattr(best, "saved", lambda df: sizes.append((out := kept(df)).count()) or out)
+    resumes = [(i, ["Java", "SQL", f"own {i % 20}"], float(i % 5), None, None, 1) for i in range(60)]
+    jobs = [(i, ["Java", "SQL"], [f"own {i % 4}"], float(i % 9), None, None, None) for i in range(900)]
+    made = best.best_jobs(spark.createDataFrame(resumes, RESUME), spark.createDataFrame(jobs, JOB), index)
+    got = sorted((r.resume_id, r.rank, r.job_id, r.match_score, sorted(r.missing_required)) for r in made.collect())
+    assert got == plain(resumes, jobs, 10, 60.0)
+    assert max(sizes) == 900  # the jobs themselves; all pairs are 54,000
