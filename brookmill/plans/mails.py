@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookmill.operators import mails
-from brookmill.sources.tables import table
+from brookmill.sources.tables import spread, table
 
 from .registry import query
 from .signatures import FIRST, LAST, _picked, _sql
@@ -49,7 +49,7 @@ SELECT *, CASE WHEN confidence = 0.62 THEN 'candidate_title_or_skills_missing' W
 UNION ALL SELECT c_custkey, 'note', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'unsupported_email_document_kind' FROM customer WHERE c_custkey % 7 = 6""")
 def mail_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consultants of tables, of blocks and of labels that repeat, and positions at labels and numbers; a kind without a parser."""
-    found = _mails(table(spark, sf_dir, "customer")).withColumn("m", mails.business_records(F.col("text"), F.col("kind")))
+    found = _mails(spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))).withColumn("m", mails.business_records(F.col("text"), F.col("kind")))
     none, shown = F.lit(None).cast("string"), ("source", "skills", "years", "location", "work_authorization", "parse_confidence", "warnings")
     alike = lambda title, name, company: lambda r: F.struct(name(r).alias("name"), r[title].alias("title"), company(r).alias("company"), *[r[f].alias(f) for f in shown])
     consultants = F.transform("m.consultants", alike("title", lambda r: r["name"], lambda r: none))
