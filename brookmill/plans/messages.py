@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brookmill.functions import text as X
 from brookmill.operators import extract, parsers, relational, taxonomy
 from brookmill.sources import messages as M
-from brookmill.sources.tables import table
+from brookmill.sources.tables import spread, table
 from brookmill.streaming import intake
 
 from .registry import query
@@ -124,7 +124,7 @@ SELECT p_partkey, position, CASE position WHEN 1 THEN p_name ELSE p_type END AS
 def requirement_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two positions in one requirement."""
     text = _lines(_said("Hello all"), F.concat(F.lit("Job Title: "), "p_name"), _said("Location: Austin, TX"), _said("Required Skills: java, sql"), F.concat("p_size", F.lit("+ years, W2, H-1B only")), _said(""), F.concat(F.lit("Job Title - "), "p_type"), _said("this one is remote"))
-    found = parsers.positions(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    found = parsers.positions(spread(table(spark, sf_dir, "part")).select("p_partkey", text.alias("text")), "p_partkey", "text")
     return found.select("p_partkey", "position", "title", "location", "employment_type", "work_authorization", F.col("years").cast("string").alias("years"), F.array_join("skills", ",").alias("skills"), F.col("confidence").cast("double").alias("confidence"))
 
 
