@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookmill.operators import signatures
-from brookmill.sources.tables import table
+from brookmill.sources.tables import spread, table
 
 from .registry import query
 
@@ -61,7 +61,7 @@ SELECT k AS c_custkey, method, name, title, company, email, phone, mobile, quote
 [0.0, 0.45, 0.70, 0.92][1 + (name IS NOT NULL)::INT + (email IS NOT NULL OR phone IS NOT NULL OR mobile IS NOT NULL)::INT + (title IS NOT NULL OR company IS NOT NULL)::INT]::DOUBLE AS confidence FROM r""")
 def mail_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures below sign-offs, above quoted mail and disclaimers, of forwards, of relays, without a sign-off, and of devices."""
-    found = signatures.signatures(_mails(table(spark, sf_dir, "customer")), "text")
+    found = signatures.signatures(_mails(spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))), "text")
     value = lambda k: F.col(f"signature.contact.{k}.value").alias(k)
     return found.select(
         "c_custkey", "signature.method", *[value(k) for k in ("name", "title", "company", "email", "phone", "mobile")], "signature.quoted_ignored",
