@@ -1,9 +1,12 @@
 """Dictionary joins: terms found in texts, terms resolved, related names, merged candidates."""
 
-import json
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brookmill.functions.fuzzy import ratio
 from brookmill.functions.text import identity_key, taxonomy_key
@@ -23,28 +26,43 @@ def phrases(df: DataFrame, id_column: str, text: str, longest: int) -> DataFrame
 
 
 def _fetched(df: DataFrame, entries: list[Row], id_column: str, text: str) -> DataFrame:
-    """id, at, phrase, canonical and kind of every place of the entries in the texts."""
-    index: dict[str, list] = {}
+    """id, at, phrase, canonical and kind of every place of the entries in the texts: an automaton over all entries reads a text's key once."""
+    named: dict[str, list[tuple[str, str, str]]] = {}
     for e in sorted(entries):
-        own = e.phrase.split(" ")
-        longest = max(own, key=len)
-        index.setdefault(longest, []).append({"phrase": e.phrase, "canonical": e.canonical, "kind": e.kind, "words": len(own), "before": own.index(longest)})
-    filed = F.from_json(F.lit(json.dumps(index)), "map<string,array<struct<phrase:string,canonical:string,kind:string,words:int,before:int>>>")
-    words = df.select(id_column, F.split(taxonomy_key(F.col(text)), " ").alias("_words"))
-    held = F.array_intersect("_words", F.from_json(F.lit(json.dumps(sorted(index))), "array<string>"))
-    met = words.withColumn("_held", held).where(F.size("_held") > 0)
-    met = met.select(id_column, "_words", F.explode("_held").alias("_word"))
-    places = F.filter(F.sequence(F.lit(1), F.size("_words")), lambda i: F.get(F.col("_words"), i - 1) == F.col("_word"))
-    met = met.withColumn("_at", places).select(id_column, "_words", "_at", F.explode(F.try_element_at(filed, F.col("_word"))).alias("e"))
-    starts = F.filter(F.transform("_at", lambda i: i - F.col("e.before")), lambda i: (i >= 1) & (F.array_join(F.slice("_words", F.greatest(i, F.lit(1)), F.col("e.words")), " ") == F.col("e.phrase")))
-    return met.select(id_column, F.explode(starts).alias("at"), "e.phrase", "e.canonical", "e.kind")
+        named.setdefault(f" {e.phrase} ", []).append((e.phrase, e.canonical, e.kind))
+    schema = T.StructType([T.StructField(id_column, df.schema[id_column].dataType), T.StructField("at", T.IntegerType()), *[T.StructField(f, T.StringType()) for f in ("phrase", "canonical", "kind")]])
+    keyed = df.select(F.col(id_column), F.concat(F.lit(" "), taxonomy_key(F.col(text)), F.lit(" ")).alias("_key")).where("_key is not null")
+    if not named:
+        return df.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ahocorasick.Automaton()
+        for phrase in named:
+            made.add_word(phrase, phrase)
+        made.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, key in enumerate(batch.column("_key").to_pylist()):
+                seen = words = 0
+                for end, phrase in made.iter(key):
+                    # a hit ends with the space behind its last word: `words` spaces stand up to there
+                    words += key.count(" ", seen, end + 1)
+                    seen = end + 1
+                    at = words - phrase.count(" ") + 1
+                    for e in named[phrase]:
+                        rows.append(k)
+                        found.append((at, *e))
+            columns = [list(c) for c in zip(*found)] or [[]] * 4
+            values = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).take(pa.array(rows, pa.int64())), *values], schema.names)
+
+    return keyed.mapInArrow(run, schema)
 
 
 def found_terms(df: DataFrame, dictionary: DataFrame, id_column: str, text: str, longest: int = 3, inline: int = INLINE_ENTRIES) -> DataFrame:
     """id, canonical, kind and first place of each dictionary entry of up to `longest` words in each text.
 
-    Entries are filed under their longest word. Up to `inline` entries the plan itself holds them: a
-    text's distinct words fetch entries, and only these are looked for. More entries are joined with
+    Up to `inline` entries an automaton of each task holds them. More entries are joined with
     the texts' word runs. Either way the work grows with the texts and not with texts times entries.
     A canonical name beats an alias.
     """

@@ -246,3 +246,11 @@ def test_language_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and length(trim(text)) >= 200")
     right = docs.select((understanding.language(F.col("text")) == F.col("lang")).cast("double").alias("r")).agg(F.avg("r")).first()[0]
     assert right >= 0.97
+
+
+def test_an_automaton_reads_a_text_once_for_all_entries(spark):
+    texts = spark.createDataFrame([(1, "The C++ of, the of THE end"), (2, None), (3, "often")], "id int, text string")
+    entries = spark.createDataFrame([("of the", "of the", "canonical"), ("the of", "x", "alias"), ("the", "x", "alias"), ("c++", "C++", "canonical"), ("", "none", "alias")], "alias string, canonical string, kind string")
+    found = taxonomy.found_terms(texts, entries, "id", "text", 2)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "canonical") == [(1, "C++", "canonical", 2, 1), (1, "of the", "canonical", 3, 2), (1, "x", "alias", 1, 4)]
