@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 from collections.abc import Iterator
@@ -69,7 +71,19 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()  # a worker serves one task after another
+        give_back()
+
+
+@functools.cache
+def _trim():
+    """glibc's malloc_trim; elsewhere nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Give memory that is free again back to the system: a worker serves one task after another, and several stand side by side."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

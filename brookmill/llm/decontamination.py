@@ -31,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, whole_rows, words_of
+from .common import give_back, mix64, whole_rows, words_of
 
 WINDOW, SEED, RUN, LEAST, COVERAGE, BLOCK_TOKENS = 8, 5, 13, 4, 0.5, 1_000_000
 #: Characters of documents that are held against the items at once; each takes about 40 bytes of arrays.
@@ -45,6 +46,10 @@ PLAIN, TEMPLATE = range(2)
 #: Units of measure and currency, and small numbers as words.
 UNITS = frozenset("% $ € £ ° mm cm m km mg g kg t lb lbs oz ml l h hr hrs min mins s sec secs ms mph kmh inch inches foot feet yard yards mile miles meter meters metre metres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
+#: ASCII characters that are neither letters nor digits.
+_AROUND = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: Words of ASCII without digits and of the letters of Latin-1.
+_SIMPLE = "^[\\x00-/:-\\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+$"
 _PART = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£°]")
 
 
@@ -69,21 +74,40 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def _read(words: pa.Array) -> tuple[np.ndarray, ...]:
+    """How many template tokens each word has; kind, capitalised and value hash of all these in a row.
+
+    Words of _SIMPLE that hold a letter have one token each and are read as columns, the others one by one.
+    """
+    core = pc.utf8_trim(words, _AROUND)
+    simple = pc.and_(pc.match_substring_regex(words, _SIMPLE), pc.not_equal(core, ""))
+    core, rest = core.filter(simple), [_parts(w) for w in words.filter(pc.invert(simple)).to_numpy(zero_copy_only=False)]
+    simple = simple.to_numpy(zero_copy_only=False)
+    n = np.ones(len(words), dtype=np.int64)
+    n[~simple] = np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))
+    single = np.repeat(simple, n)
+
+    low = pc.utf8_lower(core)
+    of = lambda values: pc.is_in(low, pa.array(sorted(values))).to_numpy(zero_copy_only=False)
+    kinds, caps, hashes = np.zeros(len(single), dtype=np.int8), np.zeros(len(single), dtype=bool), np.zeros(len(single), dtype=np.uint64)
+    kinds[single] = np.where(of(NUMBERS), NUMBER, np.where(of(UNITS), UNIT, WORD))
+    caps[single] = pc.utf8_is_upper(pc.utf8_slice_codeunits(core, 0, 1)).to_numpy(zero_copy_only=False)
+    hashes[single] = np.fromiter(map(xxhash.xxh64_intdigest, low.cast(pa.binary()).to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(low))
+    every = [p for ps in rest for p in ps]
+    kinds[~single], caps[~single], hashes[~single] = [p[0] for p in every], [p[2] for p in every], np.fromiter((_hash(p[1]) for p in every), dtype=np.uint64, count=len(every))
+    return n, kinds, caps, hashes
+
+
 class Tokens:
     """Template tokens of several texts in a row: arrays of kind, value hash, text and template hash."""
 
     def __init__(self, texts: list[str | None]):
         flat, ends = words_of(pa.array(texts, pa.string()), lower=False)
         coded = flat.dictionary_encode()
-        known, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        parts = [_parts(w) for w in known]
-        n = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        known, at = coded.dictionary, coded.indices.to_numpy()
+        n, kinds, caps, hashes = _read(known)
         first = np.append(0, np.cumsum(n))
-        every = [p for ps in parts for p in ps]
-        kinds = np.array([p[0] for p in every] or [0], dtype=np.int8)
-        caps = np.array([p[2] for p in every] or [False], dtype=bool)
-        hashes = np.array([_hash(p[1]) for p in every] or [0], dtype=np.uint64)
-        stops = np.array([w.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":") for w in known] or [False], dtype=bool)
+        stops = pc.match_substring_regex(known, "[.!?:][\"')\\]»”]*$").to_numpy(zero_copy_only=False)
 
         counts = n[at]
         source = np.repeat(np.arange(len(at)), counts)
@@ -296,7 +320,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, seed: in
                     base = ends[start - 1] if start else 0
                     stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_CHARS, side="right")))
                     out += index.leaks(list(batch.iloc[start:stop]), coverage)
-                    pa.default_memory_pool().release_unused()
+                    give_back()
                     start = stop
                 yield pd.Series([[(ids[i], *rest) for i, *rest in row] for row in out], dtype=object)
 

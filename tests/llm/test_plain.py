@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brookmill.llm import quality, queries, toxicity
+from brookmill.llm import decontamination, quality, queries, toxicity
 
 from . import brute
 
@@ -140,3 +141,21 @@ def test_op5_both_ways(spark, docs):
     for (d, i), coverage in found.items():
         assert len(covered[d, i]) >= 0.45 * len(items[i]) or longest[d, i] >= 13, (d, i, coverage)
     assert len(found) > 2
+
+
+def test_words_read_as_columns_are_those_read_one_by_one(monkeypatch):
+    letters = [chr(c) for c in range(33, 0x250)] + ["İ", "ſ", "ŉ", "²", "½", "Ⅷ", "٣", "世", "»", "”", "́", "😀", "_", "\x1c"]
+    words = [a + b for a in letters for b in ("", "x", "É.", "7", ",")] + [b + a for a in letters for b in ("x", "Ñ", '"(')]
+    words += ["%", "%%%", "$5", "5$", "(two)", "Two", "Minutes,", "kg", "KG.", "don't", "_a_", "---", "x²", "3,14", "Straße", "ÀÉ!", "a×b", "÷"]
+    words = sorted(set(words) - {w for w in words if any(c in " \t\n\x0b\x0c\r" for c in w)})
+    n, kinds, caps, hashes = decontamination._read(pa.array(words))
+    plain = [decontamination._parts(w) for w in words]
+    assert n.tolist() == [len(p) for p in plain]
+    flat = [x for p in plain for x in p]
+    assert kinds.tolist() == [x[0] for x in flat] and caps.tolist() == [x[2] for x in flat]
+    assert hashes.tolist() == [decontamination._hash(x[1]) for x in flat]
+
+    read = []
+    monkeypatch.setattr(decontamination, "_parts", lambda w: read.append(w) or [])
+    decontamination.Tokens(['"Plain words, only: Ça va.', "année %%% x1"])
+    assert sorted(read) == ["%%%", "x1"]
