@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into tokens at once.
 SLICE_BYTES = 8 << 20
+#: Bytes of rows that travel to a Python worker at once in the pipeline; Spark's default is 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +56,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on at most about so many bytes go to a Python worker at once; a session that asks for less keeps that.
+
+    A batch stands in the executor, in the worker, and in the worker's answer. No row is left out: a
+    row that is larger travels alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.conf.get(name).removesuffix("b"))
+    if held <= 0 or held > most:
+        spark.conf.set(name, str(most))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim; elsewhere nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Give memory that is free again back to the system: a worker serves one task after another, and several stand side by side."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece holds about limit bytes of text, one row at least."""
     for batch in batches:
@@ -74,18 +100,6 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
         give_back()
 
 
-@functools.cache
-def _trim():
-    """glibc's malloc_trim; elsewhere nothing."""
-    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
-
-
-def give_back() -> None:
-    """Give memory that is free again back to the system: a worker serves one task after another, and several stand side by side."""
-    pa.default_memory_pool().release_unused()
-    _trim()(0)
-
-
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of all texts in a row, and where each text's words start and end.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, slices
+from .common import fresh, give_back, slices
 
 SIZE = 300
 #: Characters that are turned into n-grams at once; longer texts are taken in pieces.
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, model: pd.DataFrame, size: int = SIZE, text: str =
 
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score"])
+            give_back()
 
     at = fresh("found", docs)
     found = docs.withColumn(at, nearest(F.col(text)))

@@ -30,16 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bktree import Forest
-from .common import mix64, saved, whole_rows
+from .common import give_back, mix64, saved, whole_rows
 from .components import components
 
 MAX_SHARD = 20_000
 #: Fingerprints of whole shards that a task turns into trees at once.
 PIECE = 200_000
 #: Texts that share a prefix shingle and are paired in one task; rows that a task holds; pairs that it looks at at once.
-MAX_BUCKET, BUCKET_ROWS, PAIRS = 2_000, 100_000, 1_000_000
+MAX_BUCKET, BUCKET_ROWS, PAIRS = 2_000, 20_000, 250_000
 #: Bits of a text's sketch at most; bytes of sketches that are compared at once.
-MAX_SKETCH, SKETCH_BYTES = 8192, 16 << 20
+MAX_SKETCH, SKETCH_BYTES = 8192, 4 << 20
 #: Texts to verify whose hashes (eight bytes each) may be broadcast; those of more are joined.
 BROADCAST_TEXTS = 2_000_000
 #: Keys of dropped and repeated rows (two hashes each) that may be broadcast; those of more are joined.
@@ -125,6 +125,8 @@ def _in_shards(dealt: DataFrame, search) -> DataFrame:
                     held = held.iloc[whole:].reset_index(drop=True)
         if held is not None and len(held):
             yield pairs(held)
+        held = None
+        give_back()
 
     return dealt.repartition("shard").sortWithinPartitions("shard", "fingerprint").mapInArrow(run, "a string, b string")
 
@@ -162,6 +164,7 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
         for batch in batches:
             for t in batch.column("text").to_pylist():
                 np.add.at(seen, _range_of(np.unique(shingles(t, words))), 1)
+            give_back()
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
 
@@ -230,6 +233,7 @@ def _with_signature(docs: DataFrame, words: int, similarity: float, propose_word
         for t in texts:
             own = np.unique(shingles(t, words))
             out.append((fingerprint(np.unique(shingles(t, propose_words)), bits), max(1, len(own)), prefix(own, sent.value, similarity).view(np.int64), sketch(own)))
+        give_back()
         return pd.DataFrame(out, columns=["fingerprint", "size", "prefix", "sketch"])
 
     return docs.withColumn("_made", of(F.col(text))).select("*", "_made.*")
@@ -256,9 +260,12 @@ class _Buckets:
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) >= BUCKET_ROWS else 0
             if last:
                 yield from self._run([x[:last] for x in held])
-                held = [x[last:] for x in held]
+                held = [x[last:].copy() for x in held]  # a view would keep the rows before it
+                give_back()
         if held is not None and len(held[0]):
             yield from self._run(held)
+        held = None
+        give_back()
 
     def _run(self, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig, comp, id_, size, pos, side, sketches = rows
@@ -341,7 +348,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
             both = len(np.intersect1d(x, y, assume_unique=True))
             return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+        out = pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+        give_back()
+        return out
 
     def verified(proposed: DataFrame) -> DataFrame:
         involved = proposed.select(F.explode(F.array("digest_a", "digest_b")).alias("_digest")).distinct()

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_of_labels
+from .common import give_back, sample_of_labels
 
 BITS, SHARDS, SAMPLE_ROWS, EPOCHS = 20, 2, 30_000, 4
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 8.0, 0.0
@@ -71,6 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Co
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["at", "doc_id"])
         weights, bias = ftrl([np.unique(hashed(t, bits)).astype(np.int32) for t in group.text], group.y.to_numpy(dtype=float), bits)
+        give_back()
         at = np.flatnonzero(weights)
         return pd.DataFrame({"feature": np.append(at, -1), "weight": np.append(weights[at], bias)})
 
@@ -99,6 +100,7 @@ def score_toxicity(docs: DataFrame, model: dict, text: str = "text", threshold:
 
         for texts in batches:
             x = np.fromiter(map(one, texts), dtype=float, count=len(texts))
+            give_back()
             yield pd.Series(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
     return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

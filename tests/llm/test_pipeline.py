@@ -1,7 +1,13 @@
+import tracemalloc
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from brookmill.llm import simhash
+from brookmill.llm.common import small_batches
 
 from . import brute
 
@@ -58,3 +64,46 @@ def test_the_end_is_lossless_and_run_gives_the_same(spark, stages):
     given, made = stages["pieces"]
     assert made.lossless.all() and sorted(made.doc_id) == sorted(given.doc_id)
     assert sorted(corpus_pipeline.run(spark, SF).toPandas().doc_id) == sorted(made.doc_id)
+
+
+def test_rows_go_to_workers_in_small_batches(spark):
+    name, kept = "spark.sql.execution.arrow.maxBytesPerBatch", None
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        docs = spark.range(40).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 60000) AS text", "'en' AS lang", "'s' AS source").coalesce(1)
+        corpus_pipeline.STAGES[-1][1](spark, docs, SF)  # any stage sets it
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+        seen = docs.mapInArrow(sizes, "n long, size long").toPandas()
+        assert seen.n.sum() == 40 and seen["size"].max() < 5 << 20
+        spark.conf.set(name, "1000000")
+        small_batches(spark)
+        assert int(spark.conf.get(name).removesuffix("b")) == 1_000_000
+    finally:
+        spark.conf.set(name, kept.removesuffix("b"))
+
+
+def test_buckets_hold_few_rows_and_pairs_at_once():
+    rng, n, wide = np.random.default_rng(1), 60_000, simhash.MAX_SKETCH // 8
+    twins = rng.integers(0, 256, (n // 600, wide), dtype=np.uint8)
+
+    def batches():
+        for start in range(0, n, 600):  # a bucket of 600 rows, of which two are alike
+            rows = rng.integers(0, 256, (600, wide), dtype=np.uint8)
+            rows[0] = rows[-1] = twins[start // 600]
+            at = np.arange(start, start + 600)
+            columns = [np.full(600, start), at, at, np.full(600, 4000, dtype=np.int32), np.zeros(600, dtype=np.int32), np.full(600, -1, dtype=np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([r.tobytes() for r in rows], pa.binary())], simhash._Buckets.COLUMNS)
+
+    tracemalloc.start()
+    try:
+        found = [p for b in simhash._Buckets(0.8)(batches()) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(found) == [(k, k + 599) for k in range(0, n, 600)]
+    assert peak < 96 << 20, peak
