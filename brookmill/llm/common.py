@@ -68,6 +68,14 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(name, str(most))
 
 
+def short_shuffles(spark: SparkSession) -> None:
+    """From now on the files of a query's shuffles go when it ends, not when the driver happens to collect its garbage.
+
+    Each step is written or checkpointed once, so nothing reads them again.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df with its lineage cut by files in the shared folder."""
     shared_folder(df.sparkSession)

@@ -223,6 +223,32 @@ def apart(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _needed(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """So many shingles are common to two sets of these sizes that are `similarity` alike."""
+    return similarity / (1 + similarity) * (size_a.astype(np.int64) + size_b) - 1e-9
+
+
+def possible(size: np.ndarray, sketches: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets at a and b can be `similarity` alike, by their sizes and sketches. No pair that is gets False."""
+    out = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+    a, b = a[out], b[out]
+    out[out] = (size[a].astype(np.int64) + size[b] - apart(sketches, a, b)) / 2 >= _needed(size[a], size[b], similarity)
+    return out
+
+
+def _possible_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
+    """digest_a, digest_b of the pairs (one and other: digest, size, sketch) that can be `similarity` alike."""
+
+    @F.pandas_udf("boolean")
+    def can(size_a: pd.Series, sketch_a: pd.Series, size_b: pd.Series, sketch_b: pd.Series) -> pd.Series:
+        size, sketches = (np.concatenate([x.to_numpy(), y.to_numpy()]) for x, y in ((size_a, size_b), (sketch_a, sketch_b)))
+        at = np.arange(len(size_a))
+        return pd.Series(possible(size, sketches, at, at + len(at), similarity))
+
+    kept = pairs.where(can("one.size", "one.sketch", "other.size", "other.sketch"))
+    return kept.select(F.col("one.digest").alias("digest_a"), F.col("other.digest").alias("digest_b"))
+
+
 def _with_signature(docs: DataFrame, words: int, similarity: float, propose_words: int, bits: int, text: str) -> DataFrame:
     """docs with fingerprint (of the distinct shingles), size (of the set that decides), prefix and sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequencies(docs.select("row.doc_id", "row.text"), words))
@@ -281,11 +307,9 @@ class _Buckets:
             b = np.repeat(other[start:stop] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
             # side -1: every two rows of the bucket meet
             a, b = (x[((side[a] < 0) | (side[a] != side[b])) & (id_[a] != id_[b])] for x in (a, b))
-            both = size[a].astype(np.int64) + size[b]
-            needed = self.similarity / (1 + self.similarity) * both - 1e-9
-            likely = (1 + np.minimum(size[a] - pos[a] - 1, size[b] - pos[b] - 1) >= needed) & (np.minimum(size[a], size[b]) >= self.similarity * np.maximum(size[a], size[b]) - 1e-9)
-            a, b, both, needed = a[likely], b[likely], both[likely], needed[likely]
-            keep = (both - apart(sketches, a, b)) / 2 >= needed
+            likely = 1 + np.minimum(size[a] - pos[a] - 1, size[b] - pos[b] - 1) >= _needed(size[a], size[b], self.similarity)
+            a, b = a[likely], b[likely]
+            keep = possible(size, sketches, a, b, self.similarity)
             if keep.any():
                 pairs = np.unique(np.sort(np.stack([id_[a[keep]], id_[b[keep]]], axis=1), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id", "other"])
@@ -320,7 +344,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     texts themselves. SimHash proposes first, and joins most copies with few pairs: wide
     fingerprints of the distinct short shingles, where an edit touches few shingles, dealt to
     shards by blocks of 16 bits; within a shard's BK-tree every text meets its nearest and its
-    first earlier neighbour within the radius. Then a prefix filter proposes all the rest: two
+    first earlier neighbour within the radius; of these pairs, only those go on that can be alike by
+    their sets' sizes and sketches. Then a prefix filter proposes all the rest: two
     texts this similar share one of their rarest shingles, so every two that do, that aren't
     joined by verified links and whose sizes, places and sketches allow it, are held against each other.
     What SimHash misses therefore costs time and changes no result.
@@ -332,14 +357,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     keyed = whole_rows(docs).withColumn("_digest", F.sha2(text, 256)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), "_digest"))
     made = _with_signature(keyed.select("row", "_digest"), words, similarity, propose_words, bits, "row.text")
     texts = saved(made.groupBy("_digest").agg(F.first("fingerprint").alias("fingerprint"), F.min("row.doc_id").alias("lowest"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
-    distinct = saved(texts.groupBy("fingerprint").agg(F.min("_digest").alias("digest")))
+    own = F.struct(F.col("_digest").alias("digest"), "size", "sketch")
+    distinct = saved(texts.groupBy("fingerprint").agg(F.min(own).alias("own")))
 
     blocks = bits // 16
     near = _in_shards(_dealt(distinct.select("fingerprint"), 4, blocks, blocks - 1, max_shard), lambda forest: forest.nearest(radius)).distinct()
-    one, two = distinct.toDF("a", "digest_a"), distinct.toDF("b", "digest_b")
-    proposed = near.join(one, "a").join(two, "b").select("digest_a", "digest_b")
-    same_print = texts.join(distinct, "fingerprint").where("_digest != digest").select(F.col("_digest").alias("digest_a"), F.col("digest").alias("digest_b"))
-    proposed = saved(proposed.union(same_print))
+    proposed = near.join(distinct.toDF("a", "one"), "a").join(distinct.toDF("b", "other"), "b").select("one", "other")
+    same_print = texts.join(distinct, "fingerprint").where("_digest != own.digest").select(own.alias("one"), F.col("own").alias("other"))
+    proposed = saved(_possible_pairs(proposed.union(same_print), similarity))
 
     @F.pandas_udf("double")
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -353,7 +378,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         return out
 
     def verified(proposed: DataFrame) -> DataFrame:
-        involved = proposed.select(F.explode(F.array("digest_a", "digest_b")).alias("_digest")).distinct()
+        involved = saved(proposed.select(F.explode(F.array("digest_a", "digest_b")).alias("_digest")).distinct())
         whole = keyed.select("_digest", text.alias("text"))
         if involved.count() <= BROADCAST_TEXTS:  # then the other texts stay where they are
             whole = whole.join(F.broadcast(involved.select(F.xxhash64("_digest").alias("_h"))), F.xxhash64("_digest") == F.col("_h"), "left_semi")

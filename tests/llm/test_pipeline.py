@@ -1,4 +1,5 @@
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -107,3 +108,41 @@ def test_buckets_hold_few_rows_and_pairs_at_once():
         tracemalloc.stop()
     assert sorted(found) == [(k, k + 599) for k in range(0, n, 600)]
     assert peak < 96 << 20, peak
+
+
+def test_pairs_that_cannot_be_alike_go_before_texts_are_read(spark, monkeypatch):
+    rng, texts = np.random.default_rng(2), []
+    base = [f"word{k}" for k in range(160)]
+    for k in range(200):  # by two-word shingles near each other, by five-word shingles far below 0.8
+        own = list(base)
+        for at in rng.choice(160, 6, replace=False):
+            own[at] = f"x{k}y{at}"
+        texts += [" ".join(own), " ".join([*own, "end"])] if k < 40 else [" ".join(own)]
+    counts, saved = [], simhash.saved
+
+    def counted(df):
+        out = saved(df)
+        if out.columns == ["digest_a", "digest_b"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "saved", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs).toPandas()
+    sets = [brute.shingles(t) for t in texts]
+    wanted = brute.groups(list(range(len(texts))), lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
+    assert sorted(kept.doc_id) == sorted(set(wanted.values())) and len(kept) <= 200
+    assert 40 <= sum(counts) <= 240, counts
+
+
+def test_files_of_shuffles_go_with_their_query(spark, tmp_path):
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in dirs for f in Path(d.getPath()).glob("*/shuffle_*.data")}
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = files()
+    corpus_pipeline.STAGES[2][1](spark, docs, SF).write.parquet(str(tmp_path / "out"))
+    left = len(files() - before)
+    rows = docs.groupBy("lang").count()
+    assert left <= 2 and sorted(rows.collect(), key=str) == sorted(rows.collect(), key=str)
