@@ -1,15 +1,14 @@
 """Cross-tokenizer alignment: which ids of one tokenizer cover the same bytes as which of another.
 
-Python only tokenises. A text with a space in front is cut before each space that follows
+Python works on distinct units. A text with a space in front is cut before each space that follows
 something that isn't white space; there no token of either side goes on, so equal units have equal
-tokens wherever they stand, and a slice of documents is sent as its distinct units (ids, the offset
-of each token's last byte, and which token holds each byte) and each document's list of units.
+tokens and links wherever they stand. A slice of documents is sent as its distinct units (links and
+groups) and each document's list of units; Spark puts the documents together.
 
-The rest is higher-order functions. Within a unit, offsets where both sides end (array_intersect)
-cut its tokens into groups. Two tokens overlap on one stretch of bytes, which ends where one of them
-does, so each offset where either side ends (array_union) stands for one link: that of the tokens
-which hold this byte. Where both sides end at the same places, which most units do, tokens are
-linked one to one. A document's links and groups are those of its units in a row.
+All distinct units of a slice are aligned at once, laid end to end, by numpy and Arrow. Offsets where
+both sides end cut their tokens into groups. Two tokens overlap on one stretch of bytes, which ends
+where one of them does, so each offset where either side ends stands for one link: that of the tokens
+which hold the byte before it. A document has as many groups as tokens of both sides less its links.
 
 How many documents hold a pair of ids is counted over the corpus. Counts come back to links by a
 broadcast of the commonest pairs (at most `most_pairs`, chosen by how many pairs there are of each
@@ -31,6 +30,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from ..functions.text import once
 from .common import saved, shared_folder, slices
 
-#: Bytes of text that a task tokenises at once.
+#: Bytes of text that a task aligns at once.
 SLICE_BYTES = 2 << 20
 #: Pairs of ids (17 bytes each) whose counts may be broadcast.
 BROADCAST_PAIRS = 1_000_000
@@ -110,24 +110,38 @@ def _lists(values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(values), dtype=np.int32, count=int(bounds[-1])), bounds
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A row for each slice of docs (doc_id, text), with units, an array of its distinct units (of both sides: ids,
-    the offset where each token ends, and the index of the token that holds each byte; the first byte is 0), and
+def _aligned(a: list[list[int]], b: list[list[int]], sizes_a: np.ndarray, sizes_b: np.ndarray) -> pa.StructArray:
+    """Of each unit, by its ids of both sides, which spell the same bytes: links (ids of A * 2**32 + of B) and groups (`a1,a2|b1;a3|b2,b3`).
+
+    sizes: the number of bytes of each id, none of them zero.
+    """
+    (ids_a, bounds), (ids_b, _) = _lists(a), _lists(b)
+    ends_a, ends_b = np.cumsum(sizes_a[ids_a]), np.cumsum(sizes_b[ids_b])
+    begin = np.append(0, ends_a)[bounds]
+    held = np.zeros((2, begin[-1]), dtype=bool)  # whether a token of each side has its last byte here
+    held[0, ends_a - 1] = held[1, ends_b - 1] = True
+    last, cuts = np.flatnonzero(held.any(axis=0)), np.flatnonzero(held.all(axis=0))
+    links = ids_a[np.searchsorted(ends_a, last, side="right")].astype(np.int64) << 32 | ids_b[np.searchsorted(ends_b, last, side="right")]
+
+    def lists(bounds: np.ndarray, values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+    def written(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pc.binary_join(lists(np.append(0, np.searchsorted(ends, cuts + 1, side="right")), pa.array(ids).cast(pa.string())), ",")
+
+    groups = pc.binary_join_element_wise(written(ids_a, ends_a), written(ids_b, ends_b), "|")
+    columns = [lists(np.searchsorted(last, begin), pa.array(links)), pc.binary_join(lists(np.searchsorted(cuts, begin), groups), ";")]
+    return pa.StructArray.from_arrays(columns, ["links", "groups"])
+
+
+def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """A row for each slice of docs (doc_id, text), with units, an array of its distinct units (links, groups), and
     docs, an array of (doc_id, n_a, n_b, units: indexes of units in order)."""
     ints, longs = (T.ArrayType(x, False) for x in (T.IntegerType(), T.LongType()))
-    of_unit = T.StructType([T.StructField(f"{side}_{c}", x, False) for side in "ab" for c, x in (("ids", longs), ("ends", ints), ("at", ints))])
+    of_unit = T.StructType([T.StructField("links", longs, False), T.StructField("groups", T.StringType(), False)])
     of_doc = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_a", T.LongType(), False), T.StructField("n_b", T.LongType(), False), T.StructField("units", ints, False)])
     schema = T.StructType([T.StructField("units", T.ArrayType(of_unit, False), False), T.StructField("docs", T.ArrayType(of_doc, False), False)])
 
-    def tokens(ids: list[list[int]], sizes: np.ndarray) -> list[pa.Array]:
-        flat, bounds = _lists(ids)
-        n = sizes[flat]
-        ends = np.append(0, np.cumsum(n))
-        begin = ends[bounds]
-        index = np.arange(len(flat)) - np.repeat(bounds[:-1], np.diff(bounds))
-        lists = ((bounds, flat, pa.int64()), (bounds, ends[1:] - 1 - np.repeat(begin[:-1], np.diff(bounds)), pa.int32()), (begin, np.repeat(index, n), pa.int32()))
-        return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, kind)) for at, x, kind in lists]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (encode_a, bytes_a), (encode_b, bytes_b) = byte_level(path_a), pieces(path_b)
         sizes_a, sizes_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (bytes_a, bytes_b))
@@ -147,7 +161,7 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             at, own = at[np.repeat(told, own)], np.where(told, own, 0)
             bounds = np.append(0, np.cumsum(own))
             held = [np.add.reduceat(np.append(np.fromiter(map(len, x), dtype=np.int64, count=len(x))[at], 0), bounds[:-1]) * (own > 0) for x in (a, b)]
-            units = pa.StructArray.from_arrays([*tokens(a, sizes_a), *tokens(b, sizes_b)], of_unit.names)
+            units = _aligned(*([x if good else [] for x, good in zip(side, spelled)] for side in (a, b)), sizes_a, sizes_b)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at, pa.int32()))
             made = pa.StructArray.from_arrays([piece.column("doc_id"), pa.array(held[0]), pa.array(held[1]), lists], ["doc_id", "n_a", "n_b", "units"])
             rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (units, made)]
@@ -156,47 +170,15 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _groups(cuts: Column, a_ids: Column, b_ids: Column, a_at: Column, b_at: Column) -> Column:
-    """The groups that end at each of the cuts, as `a1,a2|b1;a3|b2,b3`."""
-
-    def written(a: Column, b: Column, c: Column) -> Column:
-        def run(texts: Column, first: Column, last: Column) -> Column:
-            return F.when(first == last, F.get(texts, first)).otherwise(F.concat_ws(",", F.transform(F.sequence(first, last), lambda x: F.get(texts, x))))
-
-        def group(end: Column, k: Column) -> Column:
-            begin = F.coalesce(F.get(c, k - 1) + 1, F.lit(0))
-            return once(begin, lambda x: F.concat_ws("|", run(a, F.get(a_at, x), F.get(a_at, end)), run(b, F.get(b_at, x), F.get(b_at, end))))
-
-        return F.concat_ws(";", F.transform(c, group))
-
-    texts = lambda ids: ids.cast("array<string>")
-    return once(texts(a_ids), lambda a: once(texts(b_ids), lambda b: once(cuts, lambda c: written(a, b, c))))
-
-
-def _aligned(unit: Column) -> Column:
-    """Of a unit's tokens: links (ids of A * 2**32 + of B), groups (text) and n_groups."""
-    a_ids, b_ids = unit.a_ids, unit.b_ids
-    pair = lambda a, b: F.shiftleft(a, 32).bitwiseOR(b)
-    made = lambda links, groups, n: F.struct(links.alias("links"), groups.alias("groups"), n.alias("n_groups"))
-    texts = F.zip_with(a_ids.cast("array<string>"), b_ids.cast("array<string>"), lambda a, b: F.concat_ws("|", a, b))
-    one_to_one = made(F.zip_with(a_ids, b_ids, pair), F.concat_ws(";", texts), F.size(a_ids))
-    cuts = F.array_intersect(unit.a_ends, unit.b_ends)
-    met = F.transform(F.sort_array(F.array_union(unit.a_ends, unit.b_ends)), lambda end: pair(F.get(a_ids, F.get(unit.a_at, end)), F.get(b_ids, F.get(unit.b_at, end))))
-    other = made(met, _groups(cuts, a_ids, b_ids, unit.a_at, unit.b_at), F.size(cuts))
-    return F.when(unit.a_ends == unit.b_ends, one_to_one).otherwise(other)
-
-
 def linked(slices: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, links and groups of the documents of tokenised slices."""
+    """doc_id, n_a, n_b, n_groups, links and groups of the documents of aligned slices."""
 
-    def document(doc: Column, links: Column, groups: Column, n: Column) -> Column:
-        total = F.aggregate(doc.units, F.lit(0).cast("long"), lambda sofar, u: sofar + F.get(n, u))
+    def document(doc: Column, links: Column, groups: Column) -> Column:
         own = [F.flatten(F.transform(doc.units, lambda u: F.get(links, u))).alias("links"), F.concat_ws(";", F.transform(doc.units, lambda u: F.get(groups, u))).alias("groups")]
-        return F.struct(doc.doc_id.alias("doc_id"), doc.n_a.alias("n_a"), doc.n_b.alias("n_b"), total.alias("n_groups"), *own)
+        return F.struct(doc.doc_id.alias("doc_id"), doc.n_a.alias("n_a"), doc.n_b.alias("n_b"), *own)
 
-    units = F.transform("units", _aligned)
-    made = once(units, lambda x: once(x.links, lambda a: once(x.groups, lambda b: once(x.n_groups, lambda c: F.transform("docs", lambda d: document(d, a, b, c))))))
-    return slices.select(F.explode(made).alias("doc")).select("doc.*")
+    made = once(F.col("units.links"), lambda a: once(F.col("units.groups"), lambda b: F.transform("docs", lambda d: document(d, a, b))))
+    return slices.select(F.explode(made).alias("doc")).select("doc.*").withColumn("n_groups", F.col("n_a") + F.col("n_b") - F.size("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -223,7 +205,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-    rows = linked(tokenised(docs, path_a, path_b)).select(
+    rows = linked(aligned(docs, path_a, path_b)).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "links", digest.alias("groups_sha256")
     )
     path = f"{shared_folder(docs.sparkSession)}/links-{uuid.uuid4().hex}"

@@ -3,10 +3,12 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brookmill.llm import alignment, queries
@@ -128,3 +130,28 @@ def test_units_have_the_tokens_of_whole_texts():
             assert " ".join(units) == t
             assert [i for u in units for i in alignment.byte_level(A)[0](" " + u)] == own.encode(" " + t, add_special_tokens=False).ids
             assert [i for ids in of_pieces(units) for i in ids] == model.encode(t)
+
+
+def test_units_are_aligned_at_once():
+    sizes = np.array([1, 2, 3, 5])
+    a, b = [[0, 1, 2], [], [3], [2, 2]], [[2, 0, 1], [], [1, 2], [2, 2]]
+    made = alignment._aligned(a, b, sizes, sizes).to_pylist()
+    assert [[divmod(x, 1 << 32) for x in r["links"]] for r in made] == [[(0, 2), (1, 2), (2, 0), (2, 1)], [], [(3, 1), (3, 2)], [(2, 2), (2, 2)]]
+    assert [r["groups"] for r in made] == ["0,1|2;2|0,1", "", "3|1,2", "2|2;2|2"]
+    assert alignment._aligned([], [], sizes, sizes).to_pylist() == []
+
+
+def test_a_unit_costs_spark_no_interpreted_expression(spark):
+    """Only the lists of documents and what they are put together from are walked by higher-order functions."""
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    calls = []
+
+    def counted(name):
+        of = getattr(F, name)
+        return lambda *a, **b: (calls.append(name), of(*a, **b))[1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("transform", "zip_with", "aggregate", "array_union", "array_intersect"):
+            patch.setattr(F, name, counted(name))
+        alignment.align(docs, A, B)
+    assert calls.count("transform") <= 5 and set(calls) == {"transform"}, calls
