@@ -93,9 +93,15 @@ def field_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH f AS (SELECT l_orderkey, arg_min(l_shipdate, l_linenumber * 1000000000::BIGINT + l_partkey) FILTER (l_returnflag = 'R') AS first_return FROM lineitem GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN l_shipdate ELSE first_return END AS returned FROM lineitem JOIN f USING (l_orderkey)""")
 def filled_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without a return date take the first one of their order; of lines alike in number and part the first in the file counts."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("returned"),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
+    """Lines that were not returned take the first return date of their order; of lines of the same place the first in the file counts.
+
+    As in the SQL, a returned line keeps its own date, null or not, a line without a date, number or part is no first
+    one, and lines without an order go.
+    """
+    is_return = F.col("l_returnflag") == "R"
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey").isNotNull()).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_shipdate", F.when(is_return, F.col("l_shipdate")).alias("first_return"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("_place"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
     )
-    return relational.filled_both_ways(lines, "l_orderkey", ["l_linenumber", "l_partkey", "_file", "_row"], ["returned"]).drop("_file", "_row")
+    filled = relational.filled_both_ways(lines, "l_orderkey", ["_place", "_file", "_row"], ["first_return"])
+    return filled.select("l_orderkey", "l_linenumber", "l_partkey", F.when(is_return, F.col("l_shipdate")).otherwise(F.col("first_return")).alias("returned"))
