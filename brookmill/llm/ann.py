@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by cosine, over sharded robust-pruned graphs.
 
-Vectors are dealt to shards of about `shard_rows` by a hash of the id. Each shard builds a
-directed graph (see `vamana`): greedy searches propose neighbours, relaxed distance pruning keeps
-diverse edges. Queries travel in blocks to every shard, a beam search finds the best of each, and
-exact cosines on the original vectors, in double precision, decide among the whole beam. Where
-more nodes than the beam holds are as near as single precision can tell, all of these are held
-against the query. The work of the search grows with queries times shards.
+Vectors are dealt to shards by a hash of the id: of `SHARD_ROWS` while that makes `SHARDS` at most,
+then to so many, until they have `MOST_ROWS` each. Queries travel in blocks to every shard. Its
+task builds a directed graph (see `vamana`): greedy searches propose neighbours, relaxed distance
+pruning keeps diverse edges. There a beam search finds the best of each query, and exact cosines
+on the original vectors, in double precision, decide among the whole beam. Where more nodes than
+the beam holds are as near as single precision can tell, all of these are held against the query.
+The work of the search grows with queries times shards.
 
 Nulls and edges: a vector that is null, zero, empty or holds null or non-finite components takes
 no part, nor does a row without an id, nor one of another length than the most common; of rows
@@ -19,13 +20,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 from pyspark.sql.window import Window
 
 from . import vamana
+from .common import give_back
 
-SHARD_ROWS, BLOCK_ROWS, QUERY_BEAM, TASKS = 5_000, 4_096, 96, 2_000
+SHARD_ROWS, MOST_ROWS, SHARDS, BLOCK_ROWS, QUERY_BEAM, TASKS = 5_000, 20_000, 24, 4_096, 96, 2_000
 #: Pairs of a query and a vector that are rescored at once.
 PAIRS = 50_000
 #: What single precision may be wrong by in a distance 1 - cosine.
@@ -62,6 +67,7 @@ class Shard(NamedTuple):
     @classmethod
     def of(cls, ids: np.ndarray, vectors: np.ndarray) -> "Shard":
         """ids: ascending."""
+        vectors = vectors.astype(np.float64)
         vectors, which = np.unique(_scaled(vectors), axis=0, return_inverse=True)
         units, node = np.unique(_units(vectors), axis=0, return_inverse=True)
         by_node = np.argsort(node.ravel(), kind="stable")
@@ -77,7 +83,8 @@ class Shard(NamedTuple):
         query = _scaled(query)
         beam = max(beam, k + 1)
         nodes, far, _ = vamana.search(self.units, self.edges, self.entries, _units(query), beam)
-        row, column = np.nonzero(nodes >= 0)
+        # no other node of the beam can be among the k nearest
+        row, column = np.nonzero((nodes >= 0) & (far <= far[:, [k]] + 2 * ROUNDING))
         node = nodes[row, column]
         # where rounding can't tell the last of the beam from the k + 1st, or the graph led to fewer nodes than there are, all near enough are looked at
         short = (nodes[:, -1] < 0) & ((nodes >= 0).sum(axis=1) < len(self.units))
@@ -107,13 +114,42 @@ def _spread(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 
 
 def usable(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """id and v (array of double): one row for each id whose vector takes part."""
-    v = F.col(vector).cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(id_column).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
+    """id and v (array of float or double): the rows whose vector takes part, with all rows of an id if they are of one length."""
+    kind = df.schema[vector].dataType
+    exact = isinstance(kind, ArrayType) and isinstance(kind.elementType, (FloatType, DoubleType))
+    rows = df.select(F.col(id_column).alias("id"), (F.col(vector) if exact else F.col(vector).cast("array<double>")).alias("v"))
+    # "contains no NaN" is unknown where a component is null
+    whole = ~F.array_contains("v", F.lit(float("nan")).cast(rows.schema["v"].dataType.elementType))
+    finite = (F.array_max("v") < float("inf")) & (F.array_min("v") > float("-inf"))
+    rows = rows.where(F.col("id").isNotNull() & whole & finite & ((F.array_max("v") > 0) | (F.array_min("v") < 0)))
+    least, most = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least == most:
+        return rows
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (common["n"] if common else 0))
+    return rows.where(F.size("v") == common["n"])
+
+
+def shards_of(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    return max(1, -(-n // max(shard_rows, MOST_ROWS)), min(-(-n // shard_rows), SHARDS))
+
+
+def _distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, ascending, each with its smallest vector."""
+    order = np.argsort(ids, kind="stable")
+    if (ids[order[1:]] == ids[order[:-1]]).any():
+        by_vector = np.lexsort(vectors.T[::-1])
+        order = by_vector[np.argsort(ids[by_vector], kind="stable")]
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[first], vectors[order[first]]
+
+
+def _matrix(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of these rows."""
+    ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in batches])
+    flat = np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False) for b in batches])
+    return _distinct(ids, flat.reshape(len(ids), -1))
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM) -> DataFrame:
@@ -122,34 +158,34 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_column: str = "vec_id
     `queries` is a condition on the column id.
     """
     rows = usable(df, id_column, vector)
-    asked = rows.where(queries)
-    n, n_asked = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // BLOCK_ROWS))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-
-    def index(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        return pd.DataFrame({"shard": group["shard"].iloc[:1], "graph": [pickle.dumps(tuple(Shard.of(group.id.to_numpy(), np.stack(group.v))))]})
+    n, n_asked = rows.agg(F.count("*"), F.count_if(queries)).first()
+    shards, blocks = shards_of(n, shard_rows), max(1, -(-n_asked // BLOCK_ROWS))
+    kind = rows.schema["id"].dataType
+    answer = pa.schema([("query_id", to_arrow_type(kind)), ("id", to_arrow_type(kind)), ("score", pa.float64())])
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        return pd.DataFrame({"block": group["block"].iloc[:1], "asked": [pickle.dumps((group.id.to_numpy(), np.stack(group.v)))]})
+        return pd.DataFrame({"asked": [pickle.dumps(_distinct(group.id.to_numpy(), np.stack(group.v)))]})
 
-    # by ranges, since hashes of shard numbers put several shards into one task
-    graphs = rows.withColumn("shard", shard).repartitionByRange(min(shards, TASKS), "shard").groupBy("shard").applyInPandas(index, "shard int, graph binary")
-    packs = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(block, "block int, asked binary")
-    packs = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, packs = [], []
         for batch in batches:
-            for graph, asked in zip(batch.graph, batch.asked):
-                held = Shard(*pickle.loads(graph))
-                own, query = pickle.loads(asked)
-                for a in range(0, len(own), 256):
-                    yield held.best(own[a : a + 256], query[a : a + 256], k, beam)
-
-    kind = rows.schema["id"].dataType.simpleString()
-    pairs = graphs.join(packs, "shard").repartitionByRange(min(shards * blocks, TASKS), "shard", "block")
-    found = pairs.select("graph", "asked").mapInPandas(answer, f"query_id {kind}, id {kind}, score double")
+            asked = batch.column("asked").is_valid()
+            packs += batch.column("asked").drop_null().to_pylist()
+            held.append(batch.select(["id", "v"]).filter(pa.compute.invert(asked)))
+        if not sum(b.num_rows for b in held):
+            return
+        shard = Shard.of(*_matrix(held))
+        held.clear()
+        for pack in packs:
+            own, query = pickle.loads(pack)
+            for a in range(0, len(own), 256):
+                best = shard.best(own[a : a + 256], query[a : a + 256].astype(np.float64), k, beam)
+                yield pa.RecordBatch.from_pandas(best, schema=answer, preserve_index=False)
+        give_back()
+
+    packs = rows.where(queries).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(block, "asked binary")
+    packs = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).unionByName(packs, allowMissingColumns=True)
+    found = dealt.repartitionById(min(shards, TASKS), "shard").groupBy("shard").applyInArrow(answers, f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")

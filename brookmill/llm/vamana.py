@@ -2,56 +2,74 @@
 
 import numpy as np
 
-DEGREE, BEAM, RELAX, WIDTH, ENTRIES = 32, 64, 1.2, 4, 64
+DEGREE, SPARE, BEAM, RELAX, WIDTH, ENTRIES = 32, 16, 64, 1.2, 4, 64
+#: Queries that are searched side by side, and cosines between candidates that are held at once.
+SIDE, CELLS = 128, 1 << 20
 _NONE = np.float32(np.inf)
+#: A beam's places are numbers: bits of the distance, then the node, then whether it is expanded. The largest is an empty place.
+_EMPTY, _LOW, _ONE, _HALF = np.uint64(2**64 - 1), np.uint64(2**32 - 1), np.uint64(1), np.uint64(32)
 
 
-def search(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _places(far: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    return np.maximum(far, 0, dtype=np.float32).view(np.uint32).astype(np.uint64) << _HALF | nodes.astype(np.uint64) << _ONE
+
+
+def _nodes(places: np.ndarray) -> np.ndarray:
+    return ((places & _LOW) >> _ONE).astype(np.int64)
+
+
+def search(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy beam search of all queries side by side.
 
     Returns the beam of each query (nodes, nearest first, -1 where there are fewer), the distances
-    1 - cosine, and the nodes expanded in each step. Every step expands the `width` nearest nodes
+    1 - cosine, and the nodes expanded (-1: none). Every step expands the `width` nearest nodes
     of a beam that are not yet expanded; a query ends when its beam has none.
     """
-    n, q = len(vectors), len(queries)
-    seen = np.zeros((q, n), dtype=bool)
-    seen[:, entries] = True
-    ids = np.tile(entries, (q, 1))
-    far = 1 - queries @ vectors[entries].T
-    order = np.argsort(far, axis=1, kind="stable")[:, :beam]
-    ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
-    if ids.shape[1] < beam:
-        ids = np.pad(ids, ((0, 0), (0, beam - ids.shape[1])), constant_values=-1)
-        far = np.pad(far, ((0, 0), (0, beam - far.shape[1])), constant_values=_NONE)
-    open_, live, steps = ids >= 0, np.arange(q), []
-    while len(live):
-        rank = np.cumsum(open_[live], axis=1)
-        pick = open_[live] & (rank <= width)
-        busy = pick.any(axis=1)
-        live, pick = live[busy], pick[busy]
-        if not len(live):
+    parts = [_search(vectors, graph, entries, queries[a : a + SIDE], beam, width) for a in range(0, max(1, len(queries)), SIDE)]
+    most = max(p[2].shape[1] for p in parts)
+    expanded = [np.pad(p[2], ((0, 0), (0, most - p[2].shape[1])), constant_values=-1) for p in parts]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(expanded)
+
+
+def _search(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, q = len(graph), len(queries)
+    base = np.arange(q) * n
+    seen = np.zeros(q * n, dtype=np.int32)
+    seen.reshape(q, n)[:, entries] = -1
+    held = np.sort(_places(1 - queries @ vectors[entries].T, np.broadcast_to(entries, (q, len(entries)))), axis=1)[:, :beam]
+    held = np.pad(held, ((0, 0), (0, beam - held.shape[1])), constant_values=_EMPTY)
+    steps = [np.full((q, 0), -1, dtype=np.int32)]
+    while True:
+        open_ = (held & _ONE) == 0
+        rank = np.cumsum(open_, axis=1, dtype=np.int32)
+        row, column = np.nonzero(open_ & (rank <= width))
+        if not len(row):
             break
-        columns = np.argsort(~pick, axis=1, kind="stable")[:, :width]
-        chosen = np.take_along_axis(pick, columns, 1)
-        nodes = np.where(chosen, np.take_along_axis(ids[live], columns, 1), -1)
-        step = np.full((q, width), -1, dtype=ids.dtype)
-        step[live] = nodes
+        node = _nodes(held[row, column])
+        held[row, column] |= _ONE
+        step = np.full((q, width), -1, dtype=np.int32)
+        step[row, rank[row, column] - 1] = node
         steps.append(step)
-        open_[live] &= ~pick
-        around = np.where(nodes[:, :, None] >= 0, graph[np.maximum(nodes, 0)], -1).reshape(len(live), -1)
-        around = np.sort(around, axis=1)
-        fresh = (around >= 0) & np.append(np.ones((len(live), 1), dtype=bool), around[:, 1:] != around[:, :-1], axis=1)
-        fresh &= ~seen[live[:, None], np.maximum(around, 0)]
-        rows, at = np.nonzero(fresh)
-        seen[live[rows], around[rows, at]] = True
-        d = np.full(around.shape, _NONE, dtype=np.float32)
-        d[rows, at] = 1 - np.einsum("ij,ij->i", queries[live[rows]], vectors[around[rows, at]])
-        all_far = np.concatenate([far[live], d], axis=1)
-        order = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
-        far[live] = np.take_along_axis(all_far, order, 1)
-        ids[live] = np.take_along_axis(np.concatenate([ids[live], np.where(fresh, around, -1)], axis=1), order, 1)
-        open_[live] = np.take_along_axis(np.concatenate([open_[live], fresh], axis=1), order, 1)
-    return ids, far, steps
+        links = graph.take(node, axis=0)
+        linked = links >= 0
+        at, own = (base[row][:, None] + links)[linked], np.repeat(row, linked.sum(axis=1))
+        new = np.flatnonzero(seen.take(at) == 0)
+        at, own = at[new], own[new]
+        mark = np.arange(1, len(at) + 1, dtype=np.int32)
+        seen[at] = mark
+        new = np.flatnonzero(seen.take(at) == mark)  # of a node that several others link to only one is left
+        own, node = own[new], at[new] - base[own[new]]
+        places = _places(1 - np.einsum("ij,ij->i", queries.take(own, axis=0), vectors.take(node, axis=0)), node)
+        better = np.flatnonzero(places < held[own, -1])
+        own, places = own[better], places[better]
+        if len(own):
+            counts = np.bincount(own, minlength=q)
+            more = np.full((q, counts.max()), _EMPTY)
+            more[own, np.arange(len(own)) - (np.cumsum(counts) - counts)[own]] = places
+            held = np.sort(np.concatenate([held, more], axis=1), axis=1)[:, :beam]
+    empty = held == _EMPTY
+    far = (held >> _HALF).astype(np.uint32).view(np.float32)
+    return np.where(empty, -1, _nodes(held)), np.where(empty, _NONE, far), np.concatenate(steps, axis=1)
 
 
 def prune(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, relax: float) -> np.ndarray:
@@ -60,24 +78,32 @@ def prune(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree
     The nearest candidate is kept, and it removes those that are `relax` times nearer to it than
     to the node; then the nearest of the rest, and so on.
     """
+    rows = max(1, CELLS // candidates.shape[1] ** 2)
+    parts = [_prune(vectors, nodes[a : a + rows], candidates[a : a + rows], degree, relax) for a in range(0, len(nodes), rows)]
+    return np.concatenate(parts) if parts else np.zeros((0, degree), dtype=np.int32)
+
+
+def _prune(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, relax: float) -> np.ndarray:
     candidates = np.sort(candidates, axis=1)
     valid = (candidates >= 0) & (candidates != nodes[:, None])
     valid[:, 1:] &= candidates[:, 1:] != candidates[:, :-1]
-    found = vectors[np.maximum(candidates, 0)]
-    near = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ikj->ik", vectors[nodes], found)))
-    near = np.where(valid, near, _NONE)
-    order = np.argsort(near, axis=1, kind="stable")
-    candidates, near, found = np.take_along_axis(candidates, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(found, order[:, :, None], 1)
-    between = np.sqrt(np.maximum(0, 2 - 2 * np.matmul(found, found.transpose(0, 2, 1))))
-    alive, rows = near < _NONE, np.arange(len(nodes))
+    far = 1 - np.einsum("ij,ikj->ik", vectors[nodes], vectors.take(np.maximum(candidates, 0), axis=0))
+    far = np.where(valid, far, _NONE)
+    order = np.argsort(far, axis=1)[:, : max(1, int(valid.sum(axis=1).max()))]
+    candidates, far = np.take_along_axis(candidates, order, 1), np.take_along_axis(far, order, 1)
+    found = vectors.take(np.maximum(candidates, 0), axis=0)
+    alive, rows = far < _NONE, np.arange(len(nodes))
+    # distances are square roots of 2 - 2 * cosine, so `relax` is squared here
+    near = np.where(alive, 1 - far / np.float32(relax**2), _NONE)
+    removes = np.matmul(found, found.transpose(0, 2, 1)) >= near[:, None, :]
     out = np.full((len(nodes), degree), -1, dtype=np.int32)
     for k in range(degree):
-        some = alive.any(axis=1)
+        first = alive.argmax(axis=1)
+        some = alive[rows, first]
         if not some.any():
             break
-        first = alive.argmax(axis=1)
-        out[some, k] = candidates[rows[some], first[some]]
-        alive &= relax * between[rows, first] > near
+        out[:, k] = np.where(some, candidates[rows, first], -1)
+        alive &= ~removes[rows, first]
         alive[rows, first] = False
     return out
 
@@ -85,37 +111,48 @@ def prune(vectors: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree
 def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX, batch: int = 256, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The graph (n rows of up to `degree` neighbours, -1 where fewer) and its entry nodes.
 
-    Two passes over all nodes, first without relaxation. A search proposes each node's
-    candidates, pruning picks its neighbours, and links back are pruned where they are too many.
+    Nodes join in a random order, by batches. A search of the graph so far proposes each node's
+    candidates (the first batch: all of it), and pruning picks its neighbours. Links back are
+    added while a node has room for `SPARE` more, and then pruned.
     """
     n = len(vectors)
-    random = np.random.default_rng(seed)
-    graph = np.full((n, degree), -1, dtype=np.int32)
-    if n > 1:
-        graph[:, : min(degree, n - 1)] = (np.arange(n)[:, None] + random.integers(1, n, size=(n, min(degree, n - 1)))) % n
-    middle = int((vectors @ vectors.mean(axis=0)).argmax()) if n else 0
-    entries = np.unique(np.append(middle, np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))) if n else np.zeros(0, dtype=np.int64)
-    for factor in (1.0, relax):
-        order = random.permutation(n)
-        for start in range(0, n, batch):
-            nodes = order[start : start + batch]
-            ids, _, steps = search(vectors, graph, entries, vectors[nodes], beam)
-            graph[nodes] = prune(vectors, nodes, np.concatenate([ids, graph[nodes], *steps], axis=1), degree, factor)
-            source, target = np.repeat(nodes, degree), graph[nodes].ravel()
-            source, target = source[target >= 0], target[target >= 0]
-            at = np.lexsort((source, target))
-            source, target = source[at], target[at]
-            first = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else target
-            sizes = np.diff(np.append(first, len(target)))
-            by_size = np.argsort(sizes, kind="stable")
-            for piece in np.array_split(by_size, max(1, -(-len(by_size) // batch))):  # of like sizes, so that little is padding
-                if not len(piece):
-                    continue
-                wide = int(sizes[piece].max())
-                back = np.full((len(piece), wide), -1, dtype=np.int32)
-                row = np.repeat(np.arange(len(piece)), sizes[piece])
-                column = np.arange(len(row)) - np.repeat(np.cumsum(sizes[piece]) - sizes[piece], sizes[piece])
-                back[row, column] = source[np.repeat(first[piece], sizes[piece]) + column]
-                to = target[first[piece]]
-                graph[to] = prune(vectors, to, np.concatenate([graph[to], back], axis=1), degree, factor)
-    return graph, entries
+    order = np.random.default_rng(seed).permutation(n)
+    entries = np.sort(order[:ENTRIES])
+    graph, size = np.full((n, degree + SPARE), -1, dtype=np.int32), np.zeros(n, dtype=np.int64)
+    for start in range(0, n, batch):
+        nodes = order[start : start + batch]
+        candidates = search(vectors, graph, entries, vectors[nodes], beam)[2] if start else np.tile(nodes, (len(nodes), 1))
+        graph[nodes, :degree] = prune(vectors, nodes, candidates, degree, relax)
+        size[nodes] = (graph[nodes] >= 0).sum(axis=1)
+        _link_back(vectors, graph, size, nodes, degree, relax)
+    full = np.flatnonzero(size > degree)
+    graph[full, :degree] = prune(vectors, full, graph[full], degree, relax)
+    return np.ascontiguousarray(graph[:, :degree]), entries
+
+
+def _link_back(vectors: np.ndarray, graph: np.ndarray, size: np.ndarray, nodes: np.ndarray, degree: int, relax: float) -> None:
+    """Links to these nodes from each of their neighbours, in place."""
+    source, target = np.repeat(nodes, degree), graph[nodes, :degree].ravel().astype(np.int64)
+    source, target = source[target >= 0], target[target >= 0]
+    new = ~(graph[target] == source[:, None]).any(axis=1)
+    source, target = source[new], target[new]
+    at = np.lexsort((source, target))
+    source, target = source[at], target[at]
+    to, first, counts = np.unique(target, return_index=True, return_counts=True)
+    column = np.arange(len(target)) - np.repeat(first, counts)
+    fits = size[to] + counts <= graph.shape[1]
+    easy = np.repeat(fits, counts)
+    graph[target[easy], size[target[easy]] + column[easy]] = source[easy]
+    size[to[fits]] += counts[fits]
+    crowded = np.flatnonzero(~fits)
+    crowded = crowded[np.argsort(counts[crowded], kind="stable")]  # of like counts, so that little is padding
+    for a in range(0, len(crowded), 256):
+        part = crowded[a : a + 256]
+        n = counts[part]
+        back, row = np.full((len(part), n.max()), -1, dtype=np.int32), np.repeat(np.arange(len(part)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        back[row, place] = source[np.repeat(first[part], n) + place]
+        kept = prune(vectors, to[part], np.concatenate([graph[to[part]], back], axis=1), degree, relax)
+        graph[to[part]] = -1
+        graph[to[part], :degree] = kept
+        size[to[part]] = (kept >= 0).sum(axis=1)

@@ -87,6 +87,28 @@ def test_nearest_over_shards_and_graph_degree(spark):
     assert graph.shape[1] == vamana.DEGREE and (graph < 900).all()
 
 
+def test_each_node_is_searched_for_once_and_shards_grow(monkeypatch):
+    x = np.random.default_rng(4).normal(size=(1500, 24)).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked, search = [], vamana.search
+    monkeypatch.setattr(vamana, "search", lambda *a: asked.append(len(a[3])) or search(*a))
+    graph, entries = vamana.build(unit)
+    assert sum(asked) <= 1500
+    found = search(unit, graph, entries, unit[:100], 96)[0][:, 1:6]
+    wanted = np.argsort(-(unit[:100] @ unit.T), axis=1)[:, 1:6]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, wanted)]) >= 0.95 * 5
+    # searches, queries times shards: six times the rows make at most twice the shards
+    assert [ann.shards_of(n) for n in (0, 5_000, 5_001, 102_564, 615_384)] == [1, 1, 2, 21, 31]
+
+
+def test_nearest_of_repeated_ids_and_null_components(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, None]), (4, [-1.0, 0.5]), (5, [float("-inf"), 1.0]), (6, [0.0, -0.0])]
+    for kind in ("float", "double", "decimal(9,1)"):
+        df = spark.createDataFrame([(str(i), v) for i, v in rows if i != 5 or kind != "decimal(9,1)"], "vec_id string, embedding array<double>")
+        got = ann.nearest(df.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>")), F.col("id") == "1").orderBy("rank").collect()
+        assert [(r.query_id, r.vec_id) for r in got] == [("1", "2"), ("1", "4")] and got[0].score == 1.0
+
+
 def test_url_edges_and_joined_index(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.Example.ORG/es/x?q"), (5, "http://org#f"), (6, "x://notexample.org/es/"), (7, "http://a.b.com/de/" + "y" * 100_000), (8, "http://cheap-pills.net/"), (8, "http://cheap-pills.net/"), (9, "http://example.org?x/es/"), (10, "http://b.net/Free-Trial/x"), (11, "http://b.net/free/x/trial")]
     df = spark.createDataFrame(rows, "page_id long, url string").select("*", *[F.lit("own").alias(c) for c in CLASHING])
