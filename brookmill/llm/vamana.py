@@ -3,6 +3,8 @@
 import numpy as np
 
 DEGREE, SPARE, BEAM, RELAX, WIDTH, ENTRIES = 32, 16, 64, 1.2, 4, 64
+#: Of its nearest neighbours so many link back for good, if they don't do so to `WARDS` nodes already: else nodes that are far from all others can't be reached.
+GUARDS, WARDS = 2, 6
 #: Queries that are searched side by side, and cosines between candidates that are held at once.
 SIDE, CELLS = 128, 1 << 20
 _NONE = np.float32(np.inf)
@@ -113,21 +115,43 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: fl
 
     Nodes join in a random order, by batches. A search of the graph so far proposes each node's
     candidates (the first batch: all of it), and pruning picks its neighbours. Links back are
-    added while a node has room for `SPARE` more, and then pruned.
+    added while a node has room for `SPARE` more, and then pruned, but for those of guards.
     """
     n = len(vectors)
     order = np.random.default_rng(seed).permutation(n)
     entries = np.sort(order[:ENTRIES])
-    graph, size = np.full((n, degree + SPARE), -1, dtype=np.int32), np.zeros(n, dtype=np.int64)
+    room = degree + SPARE
+    graph, size, wards = np.full((n, room + WARDS), -1, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for start in range(0, n, batch):
         nodes = order[start : start + batch]
         candidates = search(vectors, graph, entries, vectors[nodes], beam)[2] if start else np.tile(nodes, (len(nodes), 1))
         graph[nodes, :degree] = prune(vectors, nodes, candidates, degree, relax)
-        size[nodes] = (graph[nodes] >= 0).sum(axis=1)
-        _link_back(vectors, graph, size, nodes, degree, relax)
-    full = np.flatnonzero(size > degree)
-    graph[full, :degree] = prune(vectors, full, graph[full], degree, relax)
-    return np.ascontiguousarray(graph[:, :degree]), entries
+        size[nodes] = (graph[nodes, :degree] >= 0).sum(axis=1)
+        _guard(graph, wards, nodes, degree, room)
+        _link_back(vectors, graph[:, :room], size, nodes, degree, relax)
+    out = np.empty((n, degree), dtype=np.int32)
+    for a in range(0, n, batch):
+        full = np.arange(a, min(n, a + batch))
+        links, kept = prune(vectors, full, graph[full, :room], degree, relax), graph[full, room:]
+        links[(links[:, :, None] == kept[:, None, :]).any(axis=2)] = -1
+        links = np.concatenate([kept, links], axis=1)
+        out[full] = np.take_along_axis(links, np.argsort(links < 0, axis=1, kind="stable"), 1)[:, :degree]
+    return out, entries
+
+
+def _guard(graph: np.ndarray, wards: np.ndarray, nodes: np.ndarray, degree: int, room: int) -> None:
+    """Links back to these nodes, from their nearest neighbours that have a place for them, in place."""
+    guards = np.zeros(len(nodes), dtype=np.int64)
+    for k in range(degree):
+        who = np.flatnonzero((guards < GUARDS) & (graph[nodes, k] >= 0))
+        if not len(who):
+            break
+        to, first = np.unique(graph[nodes[who], k], return_index=True)  # one a round
+        free = wards[to] < WARDS
+        to, who = to[free], who[first[free]]
+        graph[to, room + wards[to]] = nodes[who]
+        wards[to] += 1
+        guards[who] += 1
 
 
 def _link_back(vectors: np.ndarray, graph: np.ndarray, size: np.ndarray, nodes: np.ndarray, degree: int, relax: float) -> None:

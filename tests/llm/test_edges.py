@@ -101,6 +101,21 @@ def test_each_node_is_searched_for_once_and_shards_grow(monkeypatch):
     assert [ann.shards_of(n) for n in (0, 5_000, 5_001, 102_564, 615_384)] == [1, 1, 2, 21, 31]
 
 
+def test_small_groups_of_near_copies_are_reached():
+    random = np.random.default_rng(5)
+    x, start = random.normal(size=(6000, 64)), 0
+    for n in [600] + [20] * 100:
+        x[start : start + n] = random.normal(size=64) + 0.05 * random.normal(size=(n, 64))
+        start += n
+    order = random.permutation(6000)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True))[order].astype(np.float32)
+    asked = unit[(order >= 600) & (order < start)]
+    graph, entries = vamana.build(unit)
+    found = vamana.search(unit, graph, entries, asked, 96)[0][:, :5]
+    wanted = np.argsort(-(asked @ unit.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, wanted)]) >= 0.995 * 5
+
+
 def test_nearest_of_repeated_ids_and_null_components(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, None]), (4, [-1.0, 0.5]), (5, [float("-inf"), 1.0]), (6, [0.0, -0.0])]
     for kind in ("float", "double", "decimal(9,1)"):
